@@ -85,11 +85,12 @@ def clean_text(spark, sf):
 
 
 @register("labelled_clean", O.with_(O.RESPONSES, O.LATEST, O.GRADED, O.DECISIONS, O.LABELLED) + f"""
-SELECT resp_id AS id, {clean_sql('html')} AS text, label FROM labelled""")
+SELECT resp_id AS id, {clean_sql('html')} AS text, label FROM labelled WHERE html IS NOT NULL""")
 def labelled_clean(spark, sf):
     """P8 + P11: (id, text, label) of the labelled set; the id is the row
-    key (the answer id), text is cleaned."""
-    ls = L.labelled_set(X.responses(spark, sf), X.decisions(spark, sf))
+    key (the answer id), text is cleaned. A null document cannot be
+    cleaned (the original fails on it), so it is left out."""
+    ls = L.labelled_set(X.responses(spark, sf), X.decisions(spark, sf)).where(F.col("html").isNotNull())
     return ls.select(F.col("resp_id").alias("id"), K.clean_text("html").alias("text"), "label")
 
 
