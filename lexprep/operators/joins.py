@@ -1,0 +1,36 @@
+"""Lookup joins with a measured broadcast decision.
+
+A token stream (one row per word occurrence) joins a lookup table (word
+vectors, a token index, a vocabulary). Static size estimates of
+checkpointed or exploded tables can be off by orders of magnitude, and a
+wrong guess broadcasts the token stream. Here the lookup side is measured
+first (one aggregate over the small table): under the broadcast threshold it
+is broadcast, above it both sides shuffle on the key (sort-merge), where
+AQE's skew-join splitting takes care of hot keys such as a word present in
+every document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_LIMIT = 10 * 1024 * 1024
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_LIMIT))
+    try:
+        n = int(str(v).lower().replace("b", ""))
+    except ValueError:
+        n = DEFAULT_LIMIT
+    return n if n > 0 else DEFAULT_LIMIT
+
+
+def lookup_join(stream: DataFrame, lookup: DataFrame, on, row_bytes: Column, how: str = "inner",
+                limit: int | None = None) -> DataFrame:
+    """Join ``stream`` to ``lookup``; ``row_bytes`` estimates one lookup row."""
+    size = lookup.agg(F.sum(row_bytes)).first()[0] or 0
+    if size <= (limit or broadcast_limit(stream)):
+        return stream.join(F.broadcast(lookup), on, how)
+    return stream.hint("merge").join(lookup.hint("merge"), on, how)

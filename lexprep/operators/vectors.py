@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lexprep import constants as C
 from lexprep.functions import text as T
+from lexprep.operators.joins import lookup_join
 from lexprep.operators.ranking import global_row_number
 
 TFIDF_PATTERN = C.TOKEN_PATTERNS["word2"][1]
@@ -80,7 +81,9 @@ def pooled_embeddings(docs: DataFrame, word_vectors: DataFrame, id_col: str = "d
     vectors of ``text.split(' ')``; unknown words count as zero vectors."""
     dim = word_vectors.select(F.max(F.size(vec_col))).scalar()
     words = docs.select(id_col, F.explode(T.single_space_split(text_col)).alias(word_col))
-    known = words.join(word_vectors.select(word_col, array_to_vector(vec_col).alias("_v")), word_col)
+    lookup = word_vectors.select(word_col, vec_col)
+    known = lookup_join(words, lookup, word_col, 48 + F.octet_length(word_col) + 8 * F.size(vec_col)) \
+        .select(id_col, word_col, array_to_vector(vec_col).alias("_v"))
     sums = known.groupBy(id_col).agg(Summarizer.sum(F.col("_v")).alias("_s"))
     n = docs.select(id_col, F.size(T.single_space_split(text_col)).alias("_n"))
     total = n.join(sums, id_col, "left").select(
@@ -124,7 +127,7 @@ def padded_sequences(docs: DataFrame, index: DataFrame, id_col: str = "doc_id",
     sequence keeps its last ``maxlen`` ids, a shorter one is padded with 0
     after. (id, n_ids, seq array<long>)."""
     ex = docs.select(id_col, F.posexplode(seq_tokens(text_col)).alias("pos", "token"))
-    ids = (ex.join(index.select("token", "idx"), "token")
+    ids = (lookup_join(ex, index.select("token", "idx"), "token", 48 + F.octet_length("token"))
            .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_p")))
     seq = F.coalesce(F.col("_p.idx"), F.array().cast("array<long>"))
     base = docs.select(id_col).join(ids, id_col, "left").select(id_col, seq.alias("_s"))

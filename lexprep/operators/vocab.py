@@ -24,6 +24,7 @@ from lexprep import constants as C
 from lexprep.functions import text as T
 from lexprep.operators import cleaning as K
 from lexprep.options import TopicOptions
+from lexprep.session import materialize
 
 HEAVY_LIMIT = 200_000  # heavy unigrams fetched as a literal set up to this many
 
@@ -126,7 +127,8 @@ def topic_prep(corpora: DataFrame, opts: TopicOptions = TopicOptions(), html_col
     tokens (T15) -> drop documents left empty (P10).
 
     Returns (kept (corpus, doc_id, text), removed (corpus, n_removed))."""
-    cleaned = corpora.select("corpus", "doc_id", K.clean_text(html_col, opts.clean).alias("text"))
+    # cleaned once: the heavy-term job and the final pass both read it
+    cleaned = materialize(corpora.select("corpus", "doc_id", K.clean_text(html_col, opts.clean).alias("text")))
     filtered = vocabulary_filter(cleaned, "text", opts)
     kept = filtered.where(F.length("text") > 0)
     removed = filtered.groupBy("corpus").agg(

@@ -12,6 +12,7 @@ from lexprep.plans import oracle as O
 from lexprep.plans.catalog import register
 from lexprep.plans.q_text import clean_sql, labelled_clean
 from lexprep.sources import fixtures as X
+from lexprep.session import materialize
 from lexprep.sources.readers import table
 
 R6 = 6
@@ -69,8 +70,10 @@ def feature_table(spark, sf):
 
 
 def _clean_docs(spark, sf):
+    """Cleaned decisions, materialised once: the rank, checkpoint and final
+    jobs of the word-vector and sequence queries all read them."""
     d = X.decisions(spark, sf).where(F.col("html").isNotNull())
-    return d.select("doc_id", K.clean_text("html").alias("text"))
+    return materialize(d.select("doc_id", K.clean_text("html").alias("text")))
 
 
 _CLEAN_DOCS = O.with_(O.DECISIONS) + \

@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 # (size-checked broadcast, partition coalescing, skew-join splitting).
 _DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -50,3 +51,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="lexprep-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Cut lineage of a table that several jobs reuse (e.g. cleaned text):
+    a reliable checkpoint in the session's checkpoint folder, so the
+    expensive expressions run once and a lost executor re-reads files
+    instead of recomputing them."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

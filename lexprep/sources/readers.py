@@ -24,8 +24,24 @@ GRADES_SCHEMA = T.StructType([
 ])
 
 
+SPREAD_BELOW_BYTES = 1 << 30
+
+
+def spread_small_input(df: DataFrame, below_bytes: int = SPREAD_BELOW_BYTES) -> DataFrame:
+    """A Parquet row group is read by one task, so a small table written as
+    one row group would run all its (CPU-heavy) text work in one task.
+    Inputs under ``below_bytes`` are spread round-robin over the default
+    parallelism; large inputs (many files and row groups) are left as
+    scanned, with no extra shuffle."""
+    spark = df.sparkSession
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= below_bytes:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def read_grades_csv(spark: SparkSession, path: str, order_col: str = "resp_id") -> DataFrame:
