@@ -151,7 +151,7 @@ def clean_url(col, add_title: bool = False, domain: str = C.LINK_DOMAIN, links:
     c = _c(col)
     a = anchors(c)
     if links == "last":
-        last = F.element_at(a, -1)
+        last = F.try_element_at(a, F.lit(-1))
         terms = link_terms(last["href"], last["title"], add_title, domain)
     else:
         terms = F.array_join(F.filter(F.transform(a, lambda x: link_terms(x["href"], x["title"], add_title, domain)),
@@ -159,3 +159,23 @@ def clean_url(col, add_title: bool = False, domain: str = C.LINK_DOMAIN, links:
     spaced = html_text_spaced(c)
     return (F.when(F.size(a) == 0, c)
             .otherwise(F.concat(spaced, F.when(terms != "", F.concat(F.lit(" "), terms)).otherwise(F.lit("")))))
+
+
+def with_clean_url(df, html_col: str, out: str, add_title: bool = False, domain: str = C.LINK_DOMAIN,
+                   links: str = "last"):
+    """T7 as staged projections: the anchors and the chosen link's terms are
+    computed once and referenced (the optimizer keeps the stages apart
+    because they are reused), instead of re-running the anchor scan for
+    every reference."""
+    html = F.col(html_col)
+    staged = df.withColumn("_a", anchors(html))
+    if links == "last":
+        staged = staged.withColumn("_l", F.try_element_at(F.col("_a"), F.lit(-1))).withColumn(
+            "_t", link_terms(F.col("_l.href"), F.col("_l.title"), add_title, domain))
+    else:
+        staged = staged.withColumn("_l", F.lit(None)).withColumn("_t", F.array_join(F.filter(
+            F.transform("_a", lambda x: link_terms(x["href"], x["title"], add_title, domain)), lambda t: t != ""), " "))
+    t = F.col("_t")
+    result = (F.when(F.size("_a") == 0, html)
+              .otherwise(F.concat(html_text_spaced(html), F.when(t != "", F.concat(F.lit(" "), t)).otherwise(F.lit("")))))
+    return staged.withColumn(out, result).drop("_a", "_l", "_t")

@@ -34,7 +34,20 @@ def light_prep(html_col, opts: CleanOptions = CleanOptions(keep_url=True)) -> Co
 
 def with_clean_text(df: DataFrame, html_col: str = "html", out: str = "text",
                     opts: CleanOptions = CleanOptions()) -> DataFrame:
-    return df.withColumn(out, clean_text(html_col, opts))
+    """T13 on a DataFrame; with links kept, the link step is staged."""
+    if not opts.keep_url:
+        return df.withColumn(out, clean_text(html_col, opts))
+    stop = C.clean_stopwords(opts.stopword_language, opts.extend_stopwords)
+    staged = H.with_clean_url(df, html_col, "_u", opts.keep_title, opts.link_domain, opts.links)
+    return staged.withColumn(out, T.clean_plain_text("_u", stop)).drop("_u")
+
+
+def with_light_prep(df: DataFrame, html_col: str = "html", out: str = "text",
+                    opts: CleanOptions = CleanOptions(keep_url=True)) -> DataFrame:
+    """T17 on a DataFrame (staged link step)."""
+    if opts.keep_url:
+        return H.with_clean_url(df, html_col, out, opts.keep_title, opts.link_domain, opts.links)
+    return df.withColumn(out, T.strip_tags(html_col))
 
 
 def hand_features(df: DataFrame, text_col: str = "text", keys: list[str] | None = None) -> DataFrame:

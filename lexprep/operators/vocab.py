@@ -128,7 +128,8 @@ def topic_prep(corpora: DataFrame, opts: TopicOptions = TopicOptions(), html_col
 
     Returns (kept (corpus, doc_id, text), removed (corpus, n_removed))."""
     # cleaned once: the heavy-term job and the final pass both read it
-    cleaned = materialize(corpora.select("corpus", "doc_id", K.clean_text(html_col, opts.clean).alias("text")))
+    cleaned = materialize(K.with_clean_text(corpora.select("corpus", "doc_id", html_col), html_col, "text", opts.clean)
+                          .select("corpus", "doc_id", "text"))
     filtered = vocabulary_filter(cleaned, "text", opts)
     kept = filtered.where(F.length("text") > 0)
     removed = filtered.groupBy("corpus").agg(

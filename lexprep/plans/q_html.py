@@ -101,12 +101,13 @@ FROM {src} s LEFT JOIN {last} l ON s.{key} = l.{key}"""
 @register("clean_url", clean_url_sql("pages", "page_id", False))
 def clean_url(spark, sf):
     """T7 on web pages (relative links only: text plus nothing)."""
-    return table(spark, sf, "pages").select("page_id", H.clean_url("html", add_title=False).alias("text"))
+    p = table(spark, sf, "pages").select("page_id", "html")
+    return H.with_clean_url(p, "html", "text", add_title=False).select("page_id", "text")
 
 
 @register("light_prep", O.with_(O.DECISIONS) + clean_url_sql("(SELECT * FROM decisions WHERE html IS NOT NULL)",
                                                             "doc_id", True))
 def light_prep(spark, sf):
     """T17 with the default options (links kept, with titles) on decisions."""
-    d = X.decisions(spark, sf).where(F.col("html").isNotNull())
-    return d.select("doc_id", K.light_prep("html", CleanOptions(keep_url=True, keep_title=True)).alias("text"))
+    d = X.decisions(spark, sf).where(F.col("html").isNotNull()).select("doc_id", "html")
+    return K.with_light_prep(d, "html", "text", CleanOptions(keep_url=True, keep_title=True)).select("doc_id", "text")
