@@ -80,10 +80,10 @@ r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_md5('id
              count(*) OVER (PARTITION BY label) AS n FROM ids),
 sz AS (SELECT DISTINCT label, n FROM r),
 it AS (SELECT r.*, i.iteration FROM r, (SELECT unnest(generate_series(1, 20)) AS iteration) i)
-SELECT it.iteration, it.id AS id_a, b.id AS id_b, 1.0 AS similarity
+SELECT CAST(it.iteration AS BIGINT) AS iteration, it.id AS id_a, b.id AS id_b, CAST(1.0 AS DOUBLE) AS similarity
 FROM it JOIN r b ON b.label = it.label AND b.rk = (it.rk - 1 + it.iteration) % it.n + 1
 UNION ALL
-SELECT it.iteration, it.id AS id_a, b.id AS id_b, 0.0 AS similarity
+SELECT CAST(it.iteration AS BIGINT), it.id AS id_a, b.id AS id_b, CAST(0.0 AS DOUBLE) AS similarity
 FROM it JOIN sz ON sz.label = 1 - it.label
 JOIN r b ON b.label = 1 - it.label AND b.rk = (it.rk - 1 + it.iteration) % sz.n + 1""")
 def contrastive_pairs(spark, sf):
