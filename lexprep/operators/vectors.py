@@ -42,7 +42,10 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_df: f
     toks = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TFIDF_PATTERN), 0), lambda w: ~w.isin(stop))
     tf = docs.select(id_col, F.explode(toks).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # counting rows with tf > 0 (all of them) reads tf, which keeps the
+    # (id, term) aggregate identical in both branches: its shuffle is
+    # computed once and reused instead of re-deriving it from the text
+    dfreq = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
     vocab = dfreq.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
     w = tf.join(vocab, "term").withColumn(
         "w", F.col("tf") * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1))
