@@ -24,20 +24,16 @@ GRADES_SCHEMA = T.StructType([
 ])
 
 
-SPREAD_BELOW_BYTES = 1 << 30
-
-
-def spread_small_input(df: DataFrame, below_bytes: int = SPREAD_BELOW_BYTES) -> DataFrame:
-    """A Parquet row group is read by one task, so a small table written as
-    one row group would run all its (CPU-heavy) text work in one task.
-    Inputs under ``below_bytes`` are spread round-robin over the default
-    parallelism; large inputs (many files and row groups) are left as
-    scanned, with no extra shuffle."""
-    spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= below_bytes:
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """A Parquet row group is read by one task, so a table stored as fewer
+    files than there are cores (e.g. one file of one row group) would run
+    all its CPU-heavy text work in a few tasks. Such inputs are spread
+    round-robin over the default parallelism. A large corpus is stored as
+    many files and is left as scanned, with no extra shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
