@@ -2,8 +2,9 @@
 
 Scale notes
 - Keep-last (A1) is an aggregate with ``max_by``: map-side partial
-  aggregation, no sort, so a URL holding a third of all answers is
-  combined inside each map task before the shuffle.
+  aggregation (sort-based because the kept row is a struct), so a URL
+  holding a third of all answers is combined inside each map task before
+  the shuffle.
 - The grades x decisions join (J1) is a plain equi-join; AQE turns it into
   a broadcast only when the runtime size of the grade side is under
   ``spark.sql.autoBroadcastJoinThreshold`` and keeps a shuffle join
