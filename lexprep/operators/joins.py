@@ -15,16 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_LIMIT = 10 * 1024 * 1024
+# The lookup side is measured exactly (not estimated), so a larger limit than
+# the planner's conservative default is safe; override per session with
+# lexprep.lookupBroadcastBytes.
+DEFAULT_LIMIT = 64 * 1024 * 1024
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_LIMIT))
+    v = df.sparkSession.conf.get("lexprep.lookupBroadcastBytes", str(DEFAULT_LIMIT))
     try:
-        n = int(str(v).lower().replace("b", ""))
+        return int(v)
     except ValueError:
-        n = DEFAULT_LIMIT
-    return n if n > 0 else DEFAULT_LIMIT
+        return DEFAULT_LIMIT
 
 
 def lookup_join(stream: DataFrame, lookup: DataFrame, on, row_bytes: Column, how: str = "inner",
