@@ -30,9 +30,10 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def lookup_join(stream: DataFrame, lookup: DataFrame, on, row_bytes: Column, how: str = "inner",
-                limit: int | None = None) -> DataFrame:
-    """Join ``stream`` to ``lookup``; ``row_bytes`` estimates one lookup row."""
-    size = lookup.agg(F.sum(row_bytes)).first()[0] or 0
+                limit: int | None = None, measured: DataFrame | None = None) -> DataFrame:
+    """Join ``stream`` to ``lookup``; ``row_bytes`` estimates one lookup row
+    (evaluated on ``measured`` when given: the same rows in a plainer form)."""
+    size = (measured if measured is not None else lookup).agg(F.sum(row_bytes)).first()[0] or 0
     if size <= (limit or broadcast_limit(stream)):
         return stream.join(F.broadcast(lookup), on, how)
     return stream.hint("merge").join(lookup.hint("merge"), on, how)

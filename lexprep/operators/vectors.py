@@ -84,9 +84,10 @@ def pooled_embeddings(docs: DataFrame, word_vectors: DataFrame, id_col: str = "d
     vectors of ``text.split(' ')``; unknown words count as zero vectors."""
     dim = word_vectors.select(F.max(F.size(vec_col))).scalar()
     words = docs.select(id_col, F.explode(T.single_space_split(text_col)).alias(word_col))
-    lookup = word_vectors.select(word_col, vec_col)
-    known = lookup_join(words, lookup, word_col, 48 + F.octet_length(word_col) + 8 * F.size(vec_col)) \
-        .select(id_col, word_col, array_to_vector(vec_col).alias("_v"))
+    # vectors are converted once per vocabulary word, not per occurrence
+    lookup = word_vectors.select(word_col, array_to_vector(vec_col).alias("_v"))
+    known = lookup_join(words, lookup, word_col, 48 + F.octet_length(word_col) + 8 * F.size(vec_col),
+                        measured=word_vectors)
     sums = known.groupBy(id_col).agg(Summarizer.sum(F.col("_v")).alias("_s"))
     n = docs.select(id_col, F.size(T.single_space_split(text_col)).alias("_n"))
     total = n.join(sums, id_col, "left").select(
