@@ -35,7 +35,8 @@ def _json_map(d: dict) -> Column:
 def _maps():
     from pyspark import SparkContext
 
-    key = id(SparkContext._active_spark_context)  # Columns are bound to one JVM
+    sc = SparkContext._active_spark_context
+    key = sc.applicationId if sc is not None else None  # Columns are bound to one running context
     if key not in _MAP_CACHE:
         legacy = C.html_legacy_entities()
         _MAP_CACHE[key] = (_json_map(C.html_named_entities()), _json_map(legacy),
