@@ -67,3 +67,29 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["id", "text", "label"]
     assert df.count() >= 0
+
+
+def _broadcast_subtrees(plan: str):
+    lines = plan.split("\n")
+
+    def depth(line):
+        stripped = line.lstrip(" :|+-")
+        return len(line) - len(stripped)
+
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            d, sub = depth(line), []
+            for nxt in lines[i + 1:]:
+                if nxt.strip() and depth(nxt) <= d:
+                    break
+                sub.append(nxt)
+            yield "\n".join(sub)
+
+
+def test_token_stream_is_never_the_broadcast_side(spark):
+    for name in ("mean_pooled_embedding", "padded_sequences"):
+        df = QUERIES[name](spark, SF_SMALL)
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        for sub in _broadcast_subtrees(plan):
+            assert "Generate" not in sub, name
