@@ -2,19 +2,17 @@
 
 Two dialects are kept side by side: Java regex (Spark) and RE2 (DuckDB).
 Larger tables (HTML entities, accent folding, stopwords) are derived at
-import time from a rule or from a public source that ships with Python or
-Spark, never typed in.
+import time from a rule or from a public source that ships with Python, or
+read from package data (stopwords).
 """
 
 from __future__ import annotations
 
 import functools
-import glob
 import html
 import html.entities
-import os
 import unicodedata
-import zipfile
+from importlib import resources
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: these must equal the original pipeline's values for equal
@@ -175,13 +173,10 @@ def accent_fold_table() -> tuple[str, str]:
 
 @functools.lru_cache(maxsize=None)
 def spark_stopwords(language: str = "portuguese") -> list[str]:
-    """Spark ML's default stopword list, read from the Spark distribution
-    (same list as StopWordsRemover.loadDefaultStopWords, no session needed)."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
+    """Apache Spark's default stopword list of a language, shipped as package
+    data (Apache License 2.0; a test holds it against
+    StopWordsRemover.loadDefaultStopWords)."""
+    text = resources.files("lexprep").joinpath("data", f"stopwords_{language}.txt").read_text(encoding="utf-8")
     return [w for w in text.split("\n") if w]
 
 

@@ -8,6 +8,7 @@ joined strings so both engines hash them alike.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     # importing the plan modules fills the registry
     for mod in ("q_labels", "q_text", "q_html", "q_corpus", "q_features", "q_metrics", "q_models"):
-        try:
-            __import__(f"lexprep.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"lexprep.plans.{mod}":
-                raise
+        importlib.import_module(f"lexprep.plans.{mod}")
