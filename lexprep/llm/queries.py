@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexprep.llm import decontaminate as D
+from lexprep.llm import labelled as L
+from lexprep.llm import quality as Q
+from lexprep.llm import simhash as S
+from lexprep.llm import toxicity as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +64,34 @@ def op2_decontaminate(spark, sf_dir):
                         F.size(x["item_ids"]).cast("long").alias("n_items"),
                         F.sha2(F.array_join(x["item_ids"], ","), 256).alias("items_sha256"),
                         x["contaminated"].alias("contaminated"))
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    """Per document: toxicity by noisy-or over its sentences, and the sentences to blame."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = X.fit(docs, read(spark, sf_dir, "labels"))
+    x = F.col("x")
+    return X.with_score(docs, model, "x").select(
+        "doc_id", L.held_out("doc_id", 4, 2).alias("held_out"), x["score"].alias("score"),
+        (x["score"] >= 0.3).cast("int").alias("predicted"), x["n_sentences"].alias("n_sentences"),
+        F.size(x["offending"]).cast("long").alias("n_offending"),
+        F.try_element_at(x["offending"], F.lit(1))["sentence"].alias("first_offending"))
+
+
+@register("op8_quality")
+def op8_quality(spark, sf_dir):
+    """Per document: probability of good quality from its subword embedding."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = Q.fit(docs, read(spark, sf_dir, "labels"))
+    score = F.col("x")["score"]
+    return Q.with_score(docs, model, "x").select(
+        "doc_id", L.held_out("doc_id", 3, 1).alias("held_out"), score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    """Per document: 64-bit fingerprint and the component of fingerprints within two bits."""
+    g = S.groups(read(spark, sf_dir, "documents"))
+    return g.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
