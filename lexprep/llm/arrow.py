@@ -8,11 +8,16 @@ cut at bytes that belong to no word. A null text is a text of no bytes.
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 4 << 20
@@ -163,6 +168,37 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(),
+          "binary": T.BinaryType()}
+
+
+def struct(**fields: str) -> T.StructType:
+    """A struct of plain fields; unlike a DDL string it needs no session."""
+    return T.StructType([T.StructField(k, _TYPES[v]) for k, v in fields.items()])
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each Spark context: they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexprep_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.writestr(f"{top.name}/{f.relative_to(top).as_posix()}", f.read_text(encoding="utf-8"))
+    path = os.path.join(tempfile.mkdtemp(prefix="lexprep-"), "lexprep_llm.zip")
+    Path(path).write_bytes(held.getvalue())
+    sc.addPyFile(path)
+    sc._lexprep_shipped = True
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` by a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def with_result(docs: DataFrame, text_col: str, name: str, schema: T.StructType,
                 make: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]]) -> DataFrame:
     """``docs`` and a struct column ``name``, which the function that ``make`` returns gets from the text column.
@@ -179,4 +215,4 @@ def with_result(docs: DataFrame, text_col: str, name: str, schema: T.StructType,
             cols = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name]) for f in schema.fields]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(cols, [f.name for f in schema.fields])], names)
 
-    return docs.mapInArrow(run, out)
+    return map_arrow(docs, run, out)

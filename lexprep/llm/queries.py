@@ -11,6 +11,7 @@ from lexprep.llm import decontaminate as D
 from lexprep.llm import labelled as L
 from lexprep.llm import quality as Q
 from lexprep.llm import simhash as S
+from lexprep.llm import suffix_dedup as R
 from lexprep.llm import toxicity as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,12 @@ def op5_simhash(spark, sf_dir):
     """Per document: 64-bit fingerprint and the component of fingerprints within two bits."""
     g = S.groups(read(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    """Per document: bytes covered by strings of 200 bytes that start elsewhere too, and what is left."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    x = F.col("x")
+    got = R.without_repeats(docs, "x", keep_text=False)
+    return got.select("doc_id", *[x[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
