@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lexprep.llm import decontaminate as D
 from lexprep.llm import labelled as L
+from lexprep.llm import license_scan as N
 from lexprep.llm import quality as Q
 from lexprep.llm import simhash as S
 from lexprep.llm import suffix_dedup as R
 from lexprep.llm import toxicity as X
+from lexprep.llm import url_reputation as U
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +107,52 @@ def op9_suffix_dedup(spark, sf_dir):
     x = F.col("x")
     got = R.without_repeats(docs, "x", keep_text=False)
     return got.select("doc_id", *[x[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
+@register("op3_license_scan")
+def op3_license_scan(spark, sf_dir):
+    """Per document: base licence phrases and the labels of licence notices placed by their rare words."""
+    x = F.col("x")
+    got = N.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), "x")
+    return got.select("doc_id", x["n_words"].alias("n_words"), F.size(x["places"]).cast("long").alias("n_base"),
+                      F.array_min(x["places"]).cast("long").alias("first_word"),
+                      F.array_max(x["places"]).cast("long").alias("last_word"),
+                      F.array_join(x["base_labels"], ",").alias("base_labels"),
+                      F.array_join(x["labels"], ",").alias("labels"), x["score"].alias("score"))
+
+
+_SQL_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_SQL_K = """(SELECT CASE WHEN coalesce(sum(n), 0) = 0 OR room <= 0 OR raw IN (0, 1) THEN 2.0
+    ELSE 1 / least(greatest((btw / (raw * (1 - raw)) - (m - 1)) / room, 0.01), 0.9) - 1 END FROM
+    (SELECT m, n, bad / n AS raw, sq - n * (bad / n) * (bad / n) AS btw, n - nn / n - (m - 1) AS room FROM
+      (SELECT CAST(count(*) AS DOUBLE) AS m, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad,
+        sum(bad * bad / n) AS sq, CAST(sum(n * n) AS DOUBLE) AS nn FROM {0} WHERE n > 0)) GROUP BY room, raw, btw, m)"""
+
+
+@register("op6_url_reputation", f"""
+WITH r AS (SELECT page_id, coalesce({_SQL_REST}, '') AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+o AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS bad FROM f),
+h AS (SELECT host, regexp_extract(host, '([^.]*\\.?[^.:]*)(?::[0-9]*)?$', 1) AS domain,
+    regexp_extract(host, '([^.:]*)(?::[0-9]*)?$', 1) AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM o GROUP BY host),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix, domain),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+g AS (SELECT CASE WHEN coalesce(sum(n), 0) = 0 THEN 0.5 ELSE (sum(bad) + 0.5) / (sum(n) + 1.0) END AS share FROM s),
+ks AS (SELECT {_SQL_K.format('s')} AS s, {_SQL_K.format('d')} AS d, {_SQL_K.format('h')} AS h),
+s2 AS (SELECT suffix, (bad + ks.s * share) / (n + ks.s) AS m FROM s, g, ks),
+d2 AS (SELECT d.suffix, domain, (bad + ks.d * m) / (n + ks.d) AS m FROM d JOIN s2 USING (suffix), ks),
+h2 AS (SELECT host, bad + ks.h * m AS a, n - bad + ks.h * (1 - m) AS b FROM h JOIN d2 USING (suffix, domain), ks),
+h3 AS (SELECT host, a / (a + b) - 1.64 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bound FROM h2)
+SELECT page_id, host, path, rule, CASE WHEN bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow'
+  WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM o JOIN h3 USING (host)""")
+def op6_url_reputation(spark, sf_dir):
+    """Per page: host, path, the rule that fits and the verdict, by rule or by the host's reputation."""
+    x = F.col("judged")
+    got = U.judged(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return got.select("page_id", *[x[c].alias(c) for c in ("host", "path", "rule", "verdict")])
