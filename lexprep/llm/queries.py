@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexprep.llm import decontaminate as D
+from lexprep.llm import embedding_dedup as V
 from lexprep.llm import labelled as L
 from lexprep.llm import license_scan as N
 from lexprep.llm import quality as Q
@@ -156,3 +157,10 @@ def op6_url_reputation(spark, sf_dir):
     x = F.col("judged")
     got = U.judged(read(spark, sf_dir, "pages").select("page_id", "url"))
     return got.select("page_id", *[x[c].alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+@register("op10_embedding_dedup")
+def op10_embedding_dedup(spark, sf_dir):
+    """Per vector: how many others it links with at cosine 0.95, its component, and whether it is kept."""
+    got = V.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return got.withColumnRenamed("id", "vec_id")
