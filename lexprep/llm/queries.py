@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexprep.llm import brown_lm as B
 from lexprep.llm import decontaminate as D
 from lexprep.llm import embedding_dedup as V
 from lexprep.llm import labelled as L
@@ -164,3 +165,12 @@ def op10_embedding_dedup(spark, sf_dir):
     """Per vector: how many others it links with at cosine 0.95, its component, and whether it is kept."""
     got = V.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return got.withColumnRenamed("id", "vec_id")
+
+
+@register("op4_brown_lm")
+def op4_brown_lm(spark, sf_dir):
+    """Per document: log10 probability under add-one unigrams and under the class bigrams."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model, got = B.perplexity(docs, ~B.held_out())
+    return got.select(F.col("id").alias("doc_id"), B.held_out("id").alias("held_out"), "n_tokens", "n_known",
+                      F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
