@@ -12,17 +12,23 @@ minimum is taken.
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Hand the session's spark.checkpoint.dir to its context; a session without one must set one first."""
+    """Hand the session's spark.checkpoint.dir to its context. Where it is unset, a session of one machine (as in
+    tests) gets a folder of its own; a cluster must name one that all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lexprep-checkpoints-")
         sc.setCheckpointDir(folder)
 
 

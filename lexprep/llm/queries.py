@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from lexprep.llm import decontaminate as D
 from lexprep.llm import embedding_dedup as V
 from lexprep.llm import labelled as L
 from lexprep.llm import license_scan as N
+from lexprep.llm import mixing as M
 from lexprep.llm import quality as Q
 from lexprep.llm import simhash as S
 from lexprep.llm import suffix_dedup as R
@@ -174,3 +176,12 @@ def op4_brown_lm(spark, sf_dir):
     model, got = B.perplexity(docs, ~B.held_out())
     return got.select(F.col("id").alias("doc_id"), B.held_out("id").alias("held_out"), "n_tokens", "n_known",
                       F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@register("op7_mixing")
+def op7_mixing(spark, sf_dir):
+    """Per document and time taken: its source's weight, epoch, and block with its place in that epoch."""
+    return M.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
