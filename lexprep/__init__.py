@@ -7,6 +7,6 @@ whole-stage codegen runs the text work inside the JVM.
 """
 
 from lexprep.options import CleanOptions, TopicOptions  # noqa: F401
-from lexprep.session import build_session, checkpoint_dir  # noqa: F401
+from lexprep.session import build_session  # noqa: F401
 
-__all__ = ["CleanOptions", "TopicOptions", "build_session", "checkpoint_dir"]
+__all__ = ["CleanOptions", "TopicOptions", "build_session"]

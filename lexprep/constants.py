@@ -87,6 +87,25 @@ NAME_MASK = "NOME"
 SEQ_FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 SEQ_MAXLEN = 2000
 
+# Header names of the grade survey export.
+URL_HEADER = "Url:"
+GRADE_HEADER = "Pertinência do debate sobre a LGPD:"
+BLOG_HEADER = "Decisão merece artigo ou texto no blog:"
+
+# Document vectors: size, window, least count, epochs.
+DOC_VECTOR_SIZE = 300
+DOC_VECTOR_WINDOW = 15
+DOC_VECTOR_MIN_COUNT = 50
+DOC_VECTOR_EPOCHS = 40
+
+# Candidate grid of the classifier search.
+GRID_LR_PENALTY = ("l1", "l2")
+GRID_LR_C = (0.01, 0.1, 1.0)
+GRID_SVC_C = (0.1, 1.0)
+GRID_GBT_RATE = (0.01, 0.1)
+GRID_GBT_DEPTH = (10, None)
+GRID_GBT_ITERATIONS = (10, 100)
+
 # Smoothed-metric epsilon (public default of the Keras backend).
 EPSILON = 1e-7
 

@@ -103,6 +103,14 @@ def html_text_spaced(col) -> Column:
     return F.regexp_replace(F.btrim(_marked(col), F.lit(MARK)), MARK + "+", " ")
 
 
+def with_html_text(df, html_col: str, out: str, spaced: bool = False):
+    """T1, or T2 if ``spaced``, as staged projections: the markup is marked
+    once and the decoder refers to the result."""
+    staged = df.withColumn("_m", F.regexp_replace(F.col(html_col), C.MARKUP_JAVA, MARK)).withColumn("_d", decode_entities("_m"))
+    text = F.regexp_replace(F.btrim("_d", F.lit(MARK)), MARK + "+", " ") if spaced else F.translate("_d", MARK, "")
+    return staged.withColumn(out, text).drop("_m", "_d")
+
+
 # -- T4 anchors ---------------------------------------------------------------
 
 def _attr(tag: Column, name: str) -> Column:
@@ -169,7 +177,7 @@ def with_clean_url(df, html_col: str, out: str, add_title: bool = False, domain:
     because they are reused), instead of re-running the anchor scan for
     every reference."""
     html = F.col(html_col)
-    staged = df.withColumn("_a", anchors(html))
+    staged = with_html_text(df, html_col, "_s", spaced=True).withColumn("_a", anchors(html))
     if links == "last":
         staged = staged.withColumn("_l", F.try_element_at(F.col("_a"), F.lit(-1))).withColumn(
             "_t", link_terms(F.col("_l.href"), F.col("_l.title"), add_title, domain))
@@ -178,5 +186,5 @@ def with_clean_url(df, html_col: str, out: str, add_title: bool = False, domain:
             F.transform("_a", lambda x: link_terms(x["href"], x["title"], add_title, domain)), lambda t: t != ""), " "))
     t = F.col("_t")
     result = (F.when(F.size("_a") == 0, html)
-              .otherwise(F.concat(html_text_spaced(html), F.when(t != "", F.concat(F.lit(" "), t)).otherwise(F.lit("")))))
-    return staged.withColumn(out, result).drop("_a", "_l", "_t")
+              .otherwise(F.concat(F.col("_s"), F.when(t != "", F.concat(F.lit(" "), t)).otherwise(F.lit("")))))
+    return staged.withColumn(out, result).drop("_a", "_l", "_t", "_s")

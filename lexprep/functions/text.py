@@ -76,12 +76,18 @@ _PARTY_GUARD = "RECORR|AGRAV|EMBARG|SUSCITA|RELATOR|ADVOGADO"
 
 def remove_parties(col) -> Column:
     """42 ordered deletions ``TERM.+?(?=CLOSE)``; rows without any
-    party term skip the chain (every rule starts with one of them)."""
+    party term skip the chain (every rule starts with one of them), and a
+    rule is tried only on a text with a closing after its first term."""
     c = _c(col)
-    out = c
-    for term, close in C.party_rules():
-        out = F.regexp_replace(out, f"(?d){term}.+?(?={close})", "")
-    return F.when(c.rlike(_PARTY_GUARD), out).otherwise(c)
+    rules = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(e).alias("close"), F.lit(f"(?d){t}.+?(?={e})").alias("cut"))
+                      for t, e in C.party_rules()])
+
+    def apply(text, rule):
+        at = F.instr(text, rule["term"])
+        closed = (at > 0) & F.substr(text, at).contains(rule["close"])
+        return F.when(closed, F.regexp_replace(text, rule["cut"], F.lit(""))).otherwise(text)
+
+    return F.when(c.rlike(_PARTY_GUARD), F.aggregate(rules, c, apply)).otherwise(c)
 
 
 # -- T18 / T19 ----------------------------------------------------------------
@@ -104,9 +110,10 @@ def mask_names(col, entities) -> Column:
 # -- T20 - T25 ----------------------------------------------------------------
 
 W = C.WORD
-LAW_JAVA = f"(?diu){W}*{C.LAW_CORE}{W}*"
-TERM_JAVA = f"(?iu){W}*{C.TERM_CORE}{W}*"
-PHRASE_JAVA = f"(?iu){W}*{C.PHRASE_CORE}{W}*"
+# a match begins where its word run does: tried from there only, a long run costs one scan, not one from each letter
+LAW_JAVA = f"(?diu)(?<!{W}){W}*{C.LAW_CORE}{W}*"
+TERM_JAVA = f"(?iu)(?<!{W}){W}*{C.TERM_CORE}{W}*"
+PHRASE_JAVA = f"(?iu)(?<!{W}){W}*{C.PHRASE_CORE}{W}*"
 
 
 def law_count(col) -> Column:

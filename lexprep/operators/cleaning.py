@@ -25,7 +25,7 @@ def clean_text(html_col, opts: CleanOptions = CleanOptions()) -> Column:
     return T.clean_plain_text(extracted_text(html_col, opts), stop)
 
 
-def light_prep(html_col, opts: CleanOptions = CleanOptions(keep_url=True)) -> Column:
+def light_prep(html_col, opts: CleanOptions = CleanOptions()) -> Column:
     """Links kept as terms (T7), or tags replaced by a space."""
     if opts.keep_url:
         return H.clean_url(html_col, opts.keep_title, opts.link_domain, opts.links)
@@ -34,16 +34,17 @@ def light_prep(html_col, opts: CleanOptions = CleanOptions(keep_url=True)) -> Co
 
 def with_clean_text(df: DataFrame, html_col: str = "html", out: str = "text",
                     opts: CleanOptions = CleanOptions()) -> DataFrame:
-    """T13 on a DataFrame; with links kept, the link step is staged."""
-    if not opts.keep_url:
-        return df.withColumn(out, clean_text(html_col, opts))
+    """T13 on a DataFrame; the link step or the markup step is staged."""
     stop = C.clean_stopwords(opts.stopword_language, opts.extend_stopwords)
-    staged = H.with_clean_url(df, html_col, "_u", opts.keep_title, opts.link_domain, opts.links)
+    if opts.keep_url:
+        staged = H.with_clean_url(df, html_col, "_u", opts.keep_title, opts.link_domain, opts.links)
+    else:
+        staged = H.with_html_text(df, html_col, "_u")
     return staged.withColumn(out, T.clean_plain_text("_u", stop)).drop("_u")
 
 
 def with_light_prep(df: DataFrame, html_col: str = "html", out: str = "text",
-                    opts: CleanOptions = CleanOptions(keep_url=True)) -> DataFrame:
+                    opts: CleanOptions = CleanOptions()) -> DataFrame:
     """T17 on a DataFrame (staged link step)."""
     if opts.keep_url:
         return H.with_clean_url(df, html_col, out, opts.keep_title, opts.link_domain, opts.links)

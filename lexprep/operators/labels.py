@@ -13,7 +13,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexprep import constants as C
@@ -99,8 +99,5 @@ def class_encode(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Distinct label values, sorted, numbered 0..k-1, joined back.
     The distinct-label table has one row per class (k rows)."""
     classes = df.select(label_col).distinct().where(F.col(label_col).isNotNull())
-    from lexprep.operators.ranking import global_row_number
-
-    codes = global_row_number(classes, [F.col(label_col).asc()], "class_id").select(
-        label_col, (F.col("class_id") - 1).alias("class_id"))
+    codes = classes.withColumn("class_id", F.dense_rank().over(Window.orderBy(label_col)).cast("long") - 1)
     return df.join(codes, label_col, "left")

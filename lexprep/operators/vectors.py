@@ -9,10 +9,9 @@ Scale notes
   and the per-term side holds one row for it. The L2 norm is a window per
   document (bounded by the document's distinct terms). N is a scalar
   subquery; nothing is collected.
-- Pooled embeddings: tokens join the word-vector table on the word (AQE
-  picks a broadcast only if the runtime size of the table allows it) and
-  vectors are summed per document with the ML ``Summarizer`` aggregate,
-  which combines partially on the map side.
+- Pooled embeddings: one (document, word, count) aggregate joins the
+  word-vector table, so a word meets its vector once per document; counts
+  weigh the ML ``Summarizer`` sum, which combines on the map side.
 - The token index ranks the aggregated token table with the distributed
   global rank (no single-partition window).
 """
@@ -26,8 +25,7 @@ from pyspark.sql import functions as F
 
 from lexprep import constants as C
 from lexprep.functions import text as T
-from lexprep.operators.joins import lookup_join
-from lexprep.operators.ranking import global_row_number
+from lexprep.operators.ranking import global_row_number, range_bucket
 
 TFIDF_PATTERN = C.TOKEN_PATTERNS["word2"][1]
 
@@ -40,13 +38,15 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_df: f
     word characters minus stopwords."""
     stop = stopwords if stopwords is not None else C.spark_stopwords("portuguese")
     toks = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TFIDF_PATTERN), 0), lambda w: ~w.isin(stop))
-    tf = docs.select(id_col, F.explode(toks).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    # counting rows with tf > 0 (all of them) reads tf, which keeps the
-    # (id, term) aggregate identical in both branches: its shuffle is
-    # computed once and reused instead of re-deriving it from the text
+    # every document also counts the empty term once (no token is empty), so
+    # its document frequency is the number of documents: term counts, document
+    # frequencies and that number all read one (id, term) aggregate
+    terms = docs.select(id_col, F.explode(F.concat(F.array(F.lit("")), toks)).alias("term"))
+    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # reading tf keeps that aggregate the same in all branches: its shuffle is reused
     dfreq = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
-    vocab = dfreq.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
+    n_docs = dfreq.select(F.max(F.when(F.col("term") == "", F.col("df")))).scalar()
+    vocab = dfreq.where((F.col("term") != "") & (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
     w = tf.join(vocab, "term").withColumn(
         "w", F.col("tf") * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
@@ -57,8 +57,8 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_df: f
 def vocabulary_index(weights: DataFrame) -> DataFrame:
     """Column index of each term: rank in code-point order, from 0."""
     terms = weights.select("term").distinct()
-    return global_row_number(terms, [F.col("term").asc()], "feature_index").withColumn(
-        "feature_index", F.col("feature_index") - 1)
+    ranked = global_row_number(terms, [F.col("term").asc()], [F.substring("term", 1, 3)], "feature_index")
+    return ranked.withColumn("feature_index", F.col("feature_index") - 1)
 
 
 def feature_table(weights: DataFrame, hand: DataFrame, id_col: str = "id") -> DataFrame:
@@ -84,12 +84,10 @@ def pooled_embeddings(docs: DataFrame, word_vectors: DataFrame, id_col: str = "d
     vectors of ``text.split(' ')``; unknown words count as zero vectors."""
     dim = word_vectors.select(F.max(F.size(vec_col))).scalar()
     words = docs.select(id_col, F.explode(T.single_space_split(text_col)).alias(word_col))
-    # vectors are converted once per vocabulary word, not per occurrence
+    tf = words.groupBy(id_col, word_col).agg(F.count(F.lit(1)).alias("_tf"))
     lookup = word_vectors.select(word_col, array_to_vector(vec_col).alias("_v"))
-    known = lookup_join(words, lookup, word_col, 48 + F.octet_length(word_col) + 8 * F.size(vec_col),
-                        measured=word_vectors)
-    sums = known.groupBy(id_col).agg(Summarizer.sum(F.col("_v")).alias("_s"))
-    n = docs.select(id_col, F.size(T.single_space_split(text_col)).alias("_n"))
+    sums = tf.join(lookup, word_col).groupBy(id_col).agg(Summarizer.sum(F.col("_v"), F.col("_tf")).alias("_s"))
+    n = tf.groupBy(id_col).agg(F.sum("_tf").alias("_n"))
     total = n.join(sums, id_col, "left").select(
         id_col, "_n", F.coalesce(vector_to_array("_s"), F.array_repeat(F.lit(0.0), dim.cast("int"))).alias("_t"))
     return total.select(id_col, F.transform("_t", lambda x: x / F.col("_n")).alias("embedding"))
@@ -102,7 +100,7 @@ def ranked_word_vectors(docs: DataFrame, embeddings: DataFrame, text_col: str =
     words = docs.select(F.explode(F.array_distinct(F.filter(T.single_space_split(text_col),
                                                              lambda w: w != ""))).alias("word"))
     dfreq = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = global_row_number(dfreq, [F.desc("df"), F.asc("word")], "rk")
+    ranked = global_row_number(dfreq, [F.desc("df"), F.asc("word")], [-F.col("df"), F.substring("word", 1, 2)], "rk")
     return ranked.join(embeddings.select(F.col("vec_id"), F.col("embedding").alias("vector")),
                        (F.col("rk") - 1) == F.col("vec_id")).select("word", "vector")
 
@@ -120,8 +118,11 @@ def token_index(train: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A15 + W1: (token, idx, n): rank by count desc, ties by first
     appearance (documents in id order, then position); from 1."""
     ex = train.select(id_col, F.posexplode(seq_tokens(text_col)).alias("pos", "token"))
-    agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(id_col, "pos")).alias("first"))
-    ranked = global_row_number(agg, [F.desc("n"), F.asc(f"first.{id_col}"), F.asc("first.pos")], "idx")
+    # first appearance as one number of fixed width, so that tokens are counted by hash, without a sort
+    at = F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos")
+    agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(at.cast("decimal(32,0)")).alias("first"))
+    agg = agg.withColumn("_doc", (F.col("first") / F.lit(1 << 32)).cast("long"))
+    ranked = global_row_number(agg, [F.desc("n"), F.asc("first")], [-F.col("n"), range_bucket(agg, "_doc")], "idx")
     return ranked.select("token", "idx", F.col("n").cast("long").alias("n"))
 
 
@@ -131,7 +132,7 @@ def padded_sequences(docs: DataFrame, index: DataFrame, id_col: str = "doc_id",
     sequence keeps its last ``maxlen`` ids, a shorter one is padded with 0
     after. (id, n_ids, seq array<long>)."""
     ex = docs.select(id_col, F.posexplode(seq_tokens(text_col)).alias("pos", "token"))
-    ids = (lookup_join(ex, index.select("token", "idx"), "token", 48 + F.octet_length("token"))
+    ids = (ex.join(index.select("token", "idx"), "token")
            .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_p")))
     seq = F.coalesce(F.col("_p.idx"), F.array().cast("array<long>"))
     base = docs.select(id_col).join(ids, id_col, "left").select(id_col, seq.alias("_s"))

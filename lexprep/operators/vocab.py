@@ -4,15 +4,10 @@ Scale notes
 - Document frequency is ``explode(array_distinct(terms))`` then
   ``groupBy(corpus, term).count()``: map-side partial aggregation
   collapses a hot term to one row per map task before the shuffle.
-- Corpus sizes (one row per corpus) are joined with a broadcast bounded by
-  the number of corpora.
-- Pruning with ``min_df = 1`` needs only the *heavy* unigrams
-  (df > max_df * N). Their number is at most (mean distinct unigrams per
-  document) / max_df, so they are fetched behind a size check and applied
-  as a hashed IN-set in one map-only pass over the tokens. Past the check,
-  or with ``min_df > 1``, the exact distributed path runs: tokens are
-  exploded with their position, semi-joined to the vocabulary and put
-  back in order per document.
+- Pruning is one path whatever the options: tokens with their position
+  semi-join the vocabulary by lower-cased word and are put back in order per
+  document. A word of every document is a hot key; the join is a plain
+  equi-join, which AQE broadcasts or splits by its runtime sizes.
 """
 
 from __future__ import annotations
@@ -24,9 +19,6 @@ from lexprep import constants as C
 from lexprep.functions import text as T
 from lexprep.operators import cleaning as K
 from lexprep.options import TopicOptions
-from lexprep.session import materialize
-
-HEAVY_LIMIT = 200_000  # heavy unigrams fetched as a literal set up to this many
 
 
 def pattern_tokens(text, preset: str) -> Column:
@@ -39,12 +31,6 @@ def pattern_tokens(text, preset: str) -> Column:
     return F.regexp_extract_all(t, F.lit(C.TOKEN_PATTERNS[preset][1]), 0)
 
 
-def full_match(token: Column, preset: str) -> Column:
-    if preset == "letters_only":
-        return token.rlike("^[a-zA-Z]{2,}$")
-    return token.rlike("^(?:" + C.TOKEN_PATTERNS[preset][1] + ")$")
-
-
 def bigrams(tokens: Column) -> Column:
     """Adjacent token pairs joined by a space. Pattern tokens never contain
     a space, so on the space-joined tokens every pair starts after a space
@@ -67,42 +53,18 @@ def document_frequency(docs: DataFrame, text_col: str, preset: str) -> DataFrame
 def vocabulary(docs: DataFrame, text_col: str = "text", opts: TopicOptions = TopicOptions()) -> DataFrame:
     """A4/A5: (corpus, term, df) with min_df <= df <= max_df * N per corpus."""
     dfreq = document_frequency(docs, text_col, opts.token_pattern)
-    sizes = F.broadcast(corpus_sizes(docs))  # one row per corpus
+    sizes = corpus_sizes(docs)  # one row per corpus
     return (dfreq.join(sizes, "corpus")
             .where((F.col("df") >= opts.min_df) & (F.col("df") <= F.lit(opts.max_df) * F.col("n_docs")))
             .select("corpus", "term", F.col("df").cast("long").alias("df")))
 
 
-def heavy_unigrams(docs: DataFrame, text_col: str, opts: TopicOptions) -> DataFrame:
-    """(corpus, term) of unigrams above max_df * N (the only pruned tokens
-    when min_df = 1)."""
-    toks = pattern_tokens(text_col, opts.token_pattern)
-    terms = docs.select("corpus", F.explode(F.array_distinct(toks)).alias("term"))
-    dfreq = terms.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = F.broadcast(corpus_sizes(docs))
-    return dfreq.join(sizes, "corpus").where(F.col("df") > F.lit(opts.max_df) * F.col("n_docs")).select("corpus", "term")
-
-
-def _filter_with_sets(docs: DataFrame, text_col: str, opts: TopicOptions, heavy: dict[str, list[str]]) -> DataFrame:
-    corpus = F.col("corpus")
-
-    def keep(w: Column) -> Column:
-        test = full_match(w, opts.token_pattern)
-        if heavy:
-            blocked = F.lit(False)
-            for name, words in heavy.items():
-                blocked = F.when(corpus == name, w.isin(words)).otherwise(blocked)
-            test = test & ~blocked
-        return test
-
-    kept = F.array_join(F.filter(T.whitespace_tokens(text_col), keep), " ")
-    return docs.withColumn(text_col, kept)
-
-
-def _filter_with_join(docs: DataFrame, text_col: str, opts: TopicOptions) -> DataFrame:
-    vocab = vocabulary(docs, text_col, opts).select("corpus", F.col("term").alias("tok"))
+def vocabulary_filter(docs: DataFrame, text_col: str = "text", opts: TopicOptions = TopicOptions()) -> DataFrame:
+    """Keep whitespace tokens whose lower case is a vocabulary term,
+    order, case and repeats kept. Bigram terms cannot equal a token."""
+    vocab = vocabulary(docs, text_col, opts).select("corpus", F.col("term").alias("_low"))
     toks = docs.select("corpus", "doc_id", F.posexplode(T.whitespace_tokens(text_col)).alias("pos", "tok"))
-    kept = toks.join(vocab, ["corpus", "tok"], "left_semi")
+    kept = toks.withColumn("_low", F.lower("tok")).join(vocab, ["corpus", "_low"], "left_semi")
     rebuilt = (kept.groupBy("corpus", "doc_id")
                .agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
                .select("corpus", "doc_id", F.array_join(F.col("_t.tok"), " ").alias(text_col)))
@@ -112,27 +74,13 @@ def _filter_with_join(docs: DataFrame, text_col: str, opts: TopicOptions) -> Dat
         text_col, F.coalesce(F.col(text_col), F.lit("")))
 
 
-def vocabulary_filter(docs: DataFrame, text_col: str = "text", opts: TopicOptions = TopicOptions()) -> DataFrame:
-    """Keep whitespace tokens that are vocabulary terms, order and
-    repeats kept. Bigram terms cannot equal a whitespace token."""
-    if opts.min_df <= 1:
-        rows = heavy_unigrams(docs, text_col, opts).limit(HEAVY_LIMIT + 1).collect()
-        if len(rows) <= HEAVY_LIMIT:  # size check; the join path is the way beyond it
-            sets: dict[str, list[str]] = {}
-            for row in rows:
-                sets.setdefault(row["corpus"], []).append(row["term"])
-            return _filter_with_sets(docs, text_col, opts, sets)
-    return _filter_with_join(docs, text_col, opts)
-
-
 def topic_prep(corpora: DataFrame, opts: TopicOptions = TopicOptions(), html_col: str = "html"):
     """Clean (T13) -> vocabulary per corpus (A4) -> keep vocabulary
     tokens (T15) -> drop documents left empty (P10).
 
     Returns (kept (corpus, doc_id, text), removed (corpus, n_removed))."""
-    # cleaned once: the heavy-term job and the final pass both read it
-    cleaned = materialize(K.with_clean_text(corpora.select("corpus", "doc_id", html_col), html_col, "text", opts.clean)
-                          .select("corpus", "doc_id", "text"))
+    cleaned = K.with_clean_text(corpora.select("corpus", "doc_id", html_col), html_col, "text", opts.clean).select(
+        "corpus", "doc_id", "text")
     filtered = vocabulary_filter(cleaned, "text", opts)
     kept = filtered.where(F.length("text") > 0)
     removed = filtered.groupBy("corpus").agg(

@@ -17,7 +17,7 @@ class CleanOptions:
     vectoriser uses the plain language list (extend=False).
     """
 
-    keep_url: bool = False
+    keep_url: bool = True
     keep_title: bool = True
     stopword_language: str = "portuguese"
     extend_stopwords: bool = True
@@ -25,6 +25,10 @@ class CleanOptions:
     links: str = "last"  # "last" (reference behaviour) or "all"
 
 
+#: text without links, as the topic and classifier steps use it
+PLAIN = CleanOptions(keep_url=False)
+
+
 @dataclass(frozen=True)
 class TopicOptions:
     """Options of vocabulary pruning.
@@ -36,4 +40,4 @@ class TopicOptions:
     min_df: int = 1
     max_df: float = 0.75
     token_pattern: str = "letter_word"
-    clean: CleanOptions = CleanOptions()
+    clean: CleanOptions = PLAIN

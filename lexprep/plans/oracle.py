@@ -63,7 +63,7 @@ CV_SCORES = """cv_scores AS (
          CAST((vec_id * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM embeddings)"""
 
 ENTITIES = """entities AS (
-  SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{4,}')[1:3] AS ents FROM documents)"""
+  SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{4,}') AS ents FROM documents)"""
 
 LATEST = """latest AS (
   SELECT url, resp_id, grade FROM (

@@ -8,7 +8,7 @@ from lexprep import constants as C
 from lexprep.operators import cleaning as K
 from lexprep.operators import labels as L
 from lexprep.operators import vocab as V
-from lexprep.options import TopicOptions
+from lexprep.options import PLAIN, TopicOptions
 from lexprep.plans import oracle as O
 from lexprep.plans.catalog import register
 from lexprep.plans.q_text import clean_sql
@@ -29,7 +29,7 @@ def corpora(spark, sf):
     bench = table(spark, sf, "benchmark").where(F.col("text").isNotNull()).select(
         F.lit("benchmark").alias("corpus"), F.col("item_id").alias("doc_id"), F.col("text").alias("html"))
     conv = table(spark, sf, "conversations").where(F.col("text").isNotNull()).select(
-        F.lit("conversations").alias("corpus"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        F.lit("conversations").alias("corpus"), (F.col("conv_id") * 1000000000 + F.col("turn")).alias("doc_id"),
         F.col("text").alias("html"))
     return dec.unionByName(bench).unionByName(conv)
 
@@ -38,7 +38,7 @@ CORPORA_SQL = O.DECISIONS + """,
 corpora AS (
   SELECT corpus, doc_id, html FROM decisions WHERE html IS NOT NULL
   UNION ALL SELECT 'benchmark', item_id, text FROM benchmark WHERE text IS NOT NULL
-  UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations WHERE text IS NOT NULL)"""
+  UNION ALL SELECT 'conversations', conv_id * 1000000000 + turn, text FROM conversations WHERE text IS NOT NULL)"""
 
 
 @register("corpus_union", "WITH " + CORPORA_SQL + "\nSELECT corpus, doc_id, html FROM corpora")
@@ -98,7 +98,7 @@ _DEC_SRC = "(SELECT corpus, doc_id, html FROM decisions WHERE html IS NOT NULL)"
 @register("vocabulary_df", O.with_(O.DECISIONS, vocab_ctes(_DEC_SRC, TOPIC)) + "SELECT corpus, term, df FROM vocab")
 def vocabulary_df(spark, sf):
     d = X.decisions(spark, sf).where(F.col("html").isNotNull())
-    cleaned = d.select("corpus", "doc_id", K.clean_text("html").alias("text"))
+    cleaned = K.with_clean_text(d, "html", "text", PLAIN).select("corpus", "doc_id", "text")
     return V.vocabulary(cleaned, "text", TOPIC)
 
 
@@ -123,7 +123,7 @@ def topic_prep_removed(spark, sf):
 @register("topic_prep_exact", O.with_(O.DECISIONS, vocab_ctes(_DEC_SRC, TOPIC_EXACT)) + f"""
 SELECT corpus, doc_id, text FROM {pruned_sql(TOPIC_EXACT)} WHERE length(text) > 0""")
 def topic_prep_exact(spark, sf):
-    """T15 through the distributed join path (min_df = 2)."""
+    """T15 with a least document frequency (min_df = 2)."""
     return _topic(spark, sf, TOPIC_EXACT)[0]
 
 
@@ -143,6 +143,6 @@ FROM labelled WHERE html IS NOT NULL""")
 def labelled_lines(spark, sf):
     """S5 + P5: ``__label__x cleaned document`` per labelled decision."""
     ls = L.labelled_set(X.responses(spark, sf), X.decisions(spark, sf)).where(F.col("html").isNotNull())
-    t = ls.select(F.col("resp_id").alias("id"), L.relevance_label_str("grade").alias("label_str"),
-                  K.clean_text("html").alias("text"))
+    t = K.with_clean_text(ls, "html", "text", PLAIN).select(
+        F.col("resp_id").alias("id"), L.relevance_label_str("grade").alias("label_str"), "text")
     return t.select("id", labelled_line("label_str", "text").alias("line"))

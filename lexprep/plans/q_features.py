@@ -8,11 +8,11 @@ from lexprep import constants as C
 from lexprep.operators import cleaning as K
 from lexprep.operators import split as S
 from lexprep.operators import vectors as V
+from lexprep.options import PLAIN
 from lexprep.plans import oracle as O
 from lexprep.plans.catalog import register
 from lexprep.plans.q_text import clean_sql, labelled_clean
 from lexprep.sources import fixtures as X
-from lexprep.session import materialize
 from lexprep.sources.readers import table
 
 R6 = 6
@@ -70,10 +70,9 @@ def feature_table(spark, sf):
 
 
 def _clean_docs(spark, sf):
-    """Cleaned decisions, materialised once: the rank, checkpoint and final
-    jobs of the word-vector and sequence queries all read them."""
+    """Cleaned decisions."""
     d = X.decisions(spark, sf).where(F.col("html").isNotNull())
-    return materialize(d.select("doc_id", K.clean_text("html").alias("text")))
+    return K.with_clean_text(d, "html", "text", PLAIN).select("doc_id", "text")
 
 
 _CLEAN_DOCS = O.with_(O.DECISIONS) + \

@@ -16,12 +16,14 @@ from lexprep.sources.readers import table
 
 @register("html_text", f"SELECT page_id, {O.html_text_sql('html')} AS text FROM pages")
 def html_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.html_text("html").alias("text"))
+    return table(spark, sf, "pages").select("page_id", "html").transform(
+        H.with_html_text, "html", "text").select("page_id", "text")
 
 
 @register("html_text_spaced", f"SELECT page_id, {O.html_text_spaced_sql('html')} AS text FROM pages")
 def html_text_spaced(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.html_text_spaced("html").alias("text"))
+    return table(spark, sf, "pages").select("page_id", "html").transform(
+        H.with_html_text, "html", "text", True).select("page_id", "text")
 
 
 def _attr_sql(tag: str, name: str) -> str:
@@ -105,6 +107,37 @@ def clean_url(spark, sf):
     return H.with_clean_url(p, "html", "text", add_title=False).select("page_id", "text")
 
 
+def clean_url_all_sql(src: str, key: str, add_title: bool) -> str:
+    """T7 with the terms of every link, in document order."""
+    terms = f"""(SELECT {key}, count(*) AS n, string_agg(t, ' ' ORDER BY pos) FILTER (t <> '') AS terms
+      FROM (SELECT {key}, pos, {link_terms_sql('href', 'title', add_title)} AS t
+            FROM (SELECT {key}, pos, {_attr_sql('tag', 'href')} AS href, {_attr_sql('tag', 'title')} AS title
+                  FROM {anchors_sql(src, key)})) GROUP BY {key})"""
+    return f"""SELECT s.{key},
+  CASE WHEN coalesce(l.n, 0) = 0 THEN s.html
+       ELSE {O.html_text_spaced_sql('s.html')} || CASE WHEN coalesce(l.terms, '') <> '' THEN ' ' || l.terms ELSE '' END END AS text
+FROM {src} s LEFT JOIN {terms} l ON s.{key} = l.{key}"""
+
+
+_DECISIONS = "(SELECT * FROM decisions WHERE html IS NOT NULL)"
+
+
+@register("clean_url_all", O.with_(O.DECISIONS) + clean_url_all_sql(_DECISIONS, "doc_id", True))
+def clean_url_all(spark, sf):
+    """T7 with the terms of every link, titles kept, on decisions."""
+    d = X.decisions(spark, sf).where(F.col("html").isNotNull()).select("doc_id", "html")
+    return H.with_clean_url(d, "html", "text", add_title=True, links="all").select("doc_id", "text")
+
+
+@register("clean_text_links", O.with_(O.DECISIONS) + f"""
+SELECT doc_id, {O.clean_plain_sql('text', C.clean_stopwords())} AS text
+FROM ({clean_url_sql(_DECISIONS, 'doc_id', True)})""")
+def clean_text_links(spark, sf):
+    """T13 with the default options: T7 (links and titles kept), then the plain cleaner."""
+    d = X.decisions(spark, sf).where(F.col("html").isNotNull()).select("doc_id", "html")
+    return K.with_clean_text(d, "html", "text", CleanOptions()).select("doc_id", "text")
+
+
 @register("light_prep", O.with_(O.DECISIONS) + clean_url_sql("(SELECT * FROM decisions WHERE html IS NOT NULL)",
                                                             "doc_id", True))
 def light_prep(spark, sf):

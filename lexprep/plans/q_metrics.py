@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexprep.operators import metrics as M
 from lexprep.operators import split as S
+from lexprep.operators.ranking import range_bucket
 from lexprep.plans import oracle as O
 from lexprep.plans.catalog import register
 from lexprep.plans.q_text import labelled_clean
@@ -27,9 +28,8 @@ def _labelled_ids(spark, sf):
     return labelled_clean(spark, sf).select("id", "label")
 
 
-_LABELLED_IDS = O.with_(O.RESPONSES, O.LATEST, O.GRADED, O.DECISIONS, O.LABELLED) + \
-    ", ids AS (SELECT resp_id AS id, label FROM labelled WHERE html IS NOT NULL)\n".lstrip(", ")
-_LABELLED_IDS = _LABELLED_IDS.replace("\nids AS", ",\nids AS")
+_LABELLED_IDS = O.with_(O.RESPONSES, O.LATEST, O.GRADED, O.DECISIONS, O.LABELLED,
+                        "ids AS (SELECT resp_id AS id, label FROM labelled WHERE html IS NOT NULL)")
 
 
 def _md5(id_expr: str) -> str:
@@ -61,14 +61,14 @@ def _folds_sql(k: int = 5) -> str:
     alloc = [f"({upto('s + n', i)} - {upto('s', i)})" for i in range(k)]
     bounds = [" + ".join(alloc[: i + 1]) for i in range(k - 1)]
     fold = " + ".join(f"CASE WHEN j >= {b} THEN 1 ELSE 0 END" for b in bounds)
-    return O.with_(O.PREDICTIONS) + f""", p AS (SELECT doc_id AS id, label FROM predictions),
-cls AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-        FROM (SELECT label, count(*) AS n FROM p GROUP BY label)),
+    return O.with_(O.PREDICTIONS, "p AS (SELECT doc_id AS id, label FROM predictions)") + f""",
+cls AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+        FROM (SELECT label, count(*) AS n, min(id) AS first FROM p GROUP BY label)),
 r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS j FROM p)
-SELECT r.id, r.label, CAST({fold} AS BIGINT) AS fold FROM r JOIN cls USING (label)""".replace("\n, p AS", ",\np AS")
+SELECT r.id, r.label, CAST({fold} AS BIGINT) AS fold FROM r JOIN cls USING (label)"""
 
 
-@register("stratified_folds", _folds_sql(5).replace("WITH predictions AS", "WITH predictions AS", 1))
+@register("stratified_folds", _folds_sql(5))
 def stratified_folds(spark, sf):
     """5 stratified folds of the labelled predictions table."""
     p = X.predictions(spark, sf).select(F.col("doc_id").alias("id"), "label")
@@ -95,7 +95,7 @@ def contrastive_pairs(spark, sf):
 d AS (SELECT label AS v FROM predictions UNION SELECT prediction FROM predictions)
 SELECT a.v AS label, b.v AS prediction, CAST(count(p.doc_id) AS BIGINT) AS n
 FROM d a JOIN d b ON true LEFT JOIN predictions p ON p.label = a.v AND p.prediction = b.v
-GROUP BY a.v, b.v""".replace("\n,\nd AS", ",\nd AS"))
+GROUP BY a.v, b.v""")
 def confusion_matrix(spark, sf):
     return M.confusion_matrix(X.predictions(spark, sf))
 
@@ -115,7 +115,7 @@ SELECT row, round(precision, 6) AS precision, round(recall, 6) AS recall, round(
 UNION ALL SELECT 'accuracy', NULL, NULL, round(coalesce(tp / nullif(n, 0), 0), 6), CAST(n AS BIGINT) FROM tot
 UNION ALL SELECT 'macro avg', round(sp / k, 6), round(sr / k, 6), round(sf / k, 6), CAST(n AS BIGINT) FROM tot
 UNION ALL SELECT 'weighted avg', round(coalesce(wp / nullif(n, 0), 0), 6), round(coalesce(wr / nullif(n, 0), 0), 6),
-                 round(coalesce(wf / nullif(n, 0), 0), 6), CAST(n AS BIGINT) FROM tot""".replace("\n,\ncls AS", ",\ncls AS"))
+                 round(coalesce(wf / nullif(n, 0), 0), 6), CAST(n AS BIGINT) FROM tot""")
 def classification_report(spark, sf):
     r = M.classification_report(X.predictions(spark, sf))
     return r.select("row", *_r(["precision", "recall", "f1"]), "support")
@@ -145,7 +145,8 @@ SELECT CAST(count(*) AS BIGINT) AS n_batches, round(avg(precision), 6) AS precis
 FROM ({_smoothed_sql("(SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 24 AS batch FROM predictions)", "batch")})""")
 def batch_f1(spark, sf):
     """Batch-wise average over batches of 24 in document order."""
-    r = M.batch_f1(X.predictions(spark, sf), [F.col("doc_id").asc()], batch_size=24)
+    p = X.predictions(spark, sf)
+    r = M.batch_f1(p, [F.col("doc_id").asc()], [range_bucket(p, "doc_id")], batch_size=24)
     return r.select(F.col("n_batches").cast("long").alias("n_batches"), *_r(["precision", "recall", "f1"]))
 
 
@@ -186,6 +187,10 @@ def cv_summary(spark, sf):
     return r.select("candidate", *_r(["mean_score", "std2"]), "n_folds")
 
 
-@register("cv_best", f"SELECT * FROM ({_CV_SQL}) ORDER BY mean_score DESC, candidate LIMIT 1")
+@register("cv_best", O.with_(O.CV_SCORES) + """
+SELECT candidate, round(m, 6) AS mean_score, round(s, 6) AS std2, n_folds FROM (
+  SELECT candidate, avg(score) AS m, 2 * stddev_pop(score) AS s, CAST(count(*) AS BIGINT) AS n_folds
+  FROM cv_scores GROUP BY candidate) ORDER BY m DESC, candidate LIMIT 1""")
 def cv_best(spark, sf):
-    return M.cv_best(cv_summary(spark, sf))
+    best = M.cv_best(M.cv_summary(X.cv_scores(spark, sf)))
+    return best.select("candidate", *_r(["mean_score", "std2"]), "n_folds")

@@ -8,6 +8,7 @@ from lexprep import constants as C
 from lexprep.functions import text as T
 from lexprep.operators import cleaning as K
 from lexprep.operators import labels as L
+from lexprep.options import PLAIN
 from lexprep.plans import oracle as O
 from lexprep.plans.catalog import register
 from lexprep.sources import fixtures as X
@@ -81,7 +82,7 @@ def clean_sql(html: str) -> str:
 SELECT doc_id, corpus, {clean_sql('html')} AS text FROM decisions WHERE html IS NOT NULL""")
 def clean_text(spark, sf):
     d = X.decisions(spark, sf).where(F.col("html").isNotNull())
-    return d.select("doc_id", "corpus", K.clean_text("html").alias("text"))
+    return K.with_clean_text(d, "html", "text", PLAIN).select("doc_id", "corpus", "text")
 
 
 @register("labelled_clean", O.with_(O.RESPONSES, O.LATEST, O.GRADED, O.DECISIONS, O.LABELLED) + f"""
@@ -91,7 +92,7 @@ def labelled_clean(spark, sf):
     key (the answer id), text is cleaned. A null document cannot be
     cleaned (the original fails on it), so it is left out."""
     ls = L.labelled_set(X.responses(spark, sf), X.decisions(spark, sf)).where(F.col("html").isNotNull())
-    return ls.select(F.col("resp_id").alias("id"), K.clean_text("html").alias("text"), "label")
+    return K.with_clean_text(ls, "html", "text", PLAIN).select(F.col("resp_id").alias("id"), "text", "label")
 
 
 W = C.WORD
@@ -111,7 +112,7 @@ FROM (SELECT doc_id, {_count_sql('t', C.LAW_CORE)} AS freq_law, {_count_sql('t',
       FROM (SELECT doc_id, {clean_sql('html')} AS t FROM decisions WHERE html IS NOT NULL))""")
 def hand_features(spark, sf):
     d = X.decisions(spark, sf).where(F.col("html").isNotNull())
-    feats = K.hand_features(d.select("doc_id", K.clean_text("html").alias("text")))
+    feats = K.hand_features(K.with_clean_text(d, "html", "text", PLAIN).select("doc_id", "text"))
     return feats.select("doc_id", "freq_law", "freq_term", "freq_phrase", "len_doc",
                         *[F.round(c, 9).alias(c) for c in ("ratio_law", "ratio_term", "ratio_phrase")])
 

@@ -1,15 +1,7 @@
-"""Spark session helpers.
-
-The cluster owns ``spark.checkpoint.dir`` (a shared, fault-tolerant folder);
-we only read it. A local default is set solely when nothing is configured,
-which is the case in tests and on a laptop.
-"""
+"""Spark session helper for tests, scripts and laptops; a cluster brings its own session."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes
@@ -38,25 +30,3 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a local one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="lexprep-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
-
-
-def materialize(df):
-    """Cut lineage of a table that several jobs reuse (e.g. cleaned text):
-    a reliable checkpoint in the session's checkpoint folder, so the
-    expensive expressions run once and a lost executor re-reads files
-    instead of recomputing them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

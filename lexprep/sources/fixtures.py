@@ -71,7 +71,7 @@ def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, ents): the first three capitalised words of each document,
-    standing in for a person recogniser's output, in order."""
+    """(doc_id, ents): all capitalised words of each document, standing in
+    for a person recogniser's output, in order."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), 0), 1, 3).alias("ents"))
+    return d.select("doc_id", F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), 0).alias("ents"))

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Header names of the grade survey export; spaces and ':' need backticks.
-URL_HEADER = "Url:"
-GRADE_HEADER = "Pertinência do debate sobre a LGPD:"
-BLOG_HEADER = "Decisão merece artigo ou texto no blog:"
+from lexprep import constants as C
+
+# spaces and ':' in these names need backticks
+URL_HEADER, GRADE_HEADER, BLOG_HEADER = C.URL_HEADER, C.GRADE_HEADER, C.BLOG_HEADER
 
 GRADES_SCHEMA = T.StructType([
     T.StructField(URL_HEADER, T.StringType(), True),
@@ -24,39 +24,32 @@ GRADES_SCHEMA = T.StructType([
 ])
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """A Parquet row group is read by one task, so a table stored as fewer
-    files than there are cores (e.g. one file of one row group) would run
-    all its CPU-heavy text work in a few tasks. Such inputs are spread
-    round-robin over the default parallelism. A large corpus is stored as
-    many files and is left as scanned, with no extra shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_grades_csv(spark: SparkSession, path: str, order_col: str = "resp_id") -> DataFrame:
     """Survey CSV (quoted newlines allowed) -> (resp_id, url, grade, blog).
 
-    Keep-last needs the file order. A multi-line CSV file is read by one
-    task per file, so ``monotonically_increasing_id`` follows file order
-    (files ordered by name); tables that carry their own order column
-    should be read with that instead.
+    Keep-last needs the order of the answers: files by name, rows by place.
+    Spark packs files into tasks by size, so the file's rank by name (one row
+    per file) makes the high part of ``resp_id`` and the place in the file the
+    low one. A multi-line CSV file is read by one task; a survey too large
+    for that should come as Parquet with an order column of its own.
     """
     raw = (spark.read.schema(GRADES_SCHEMA)
            .option("header", True).option("multiLine", True).option("escape", '"')
            .csv(path))
-    return raw.select(
-        F.monotonically_increasing_id().alias(order_col),
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
         F.col(f"`{URL_HEADER}`").alias("url"),
         F.col(f"`{GRADE_HEADER}`").alias("grade"),
         F.col(f"`{BLOG_HEADER}`").alias("blog"),
     )
+    files = rows.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))
+    return rows.join(files, "_file").select(
+        (F.shiftleft((F.col("_rank") - 1).cast("long"), 33) + F.col("_place")).alias(order_col), "url", "grade", "blog")
 
 
 def read_decisions(spark: SparkSession, path: str, id_col: str = "idJurisprudencia",
@@ -70,8 +63,8 @@ def read_decisions(spark: SparkSession, path: str, id_col: str = "idJurisprudenc
 def read_corpora(spark: SparkSession, paths: dict[str, str], html_col: str = "html") -> DataFrame:
     """S3 + P1: several named Parquet corpora as one (corpus, doc_id, html).
 
-    A stable per-corpus id is derived from the file position: ids are only
-    used to keep documents distinct, never to order or sample them.
+    The id is the document's place in one reading of the files: it keeps
+    documents distinct within a job and is no key between jobs.
     """
     frames = [
         spark.read.parquet(p).where(F.col(html_col).isNotNull())
@@ -82,8 +75,11 @@ def read_corpora(spark: SparkSession, paths: dict[str, str], html_col: str = "ht
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def write_text_corpus(df: DataFrame, path: str, text_col: str = "text") -> None:
-    """One cleaned document per line, parallel part files."""
+def write_text_corpus(df: DataFrame, path: str, text_col: str = "text", order_cols: list[str] | None = None) -> None:
+    """One cleaned document per line, parallel part files; with
+    ``order_cols`` the part files, read by name, hold them in that order."""
+    if order_cols:
+        df = df.orderBy(*order_cols)
     df.select(F.regexp_replace(text_col, r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(path)
 
 

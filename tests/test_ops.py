@@ -20,7 +20,7 @@ def test_global_row_number_equals_window(spark):
     rows = [(i, rnd.randint(0, 20), f"k{rnd.randint(0, 999):03d}") for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, a long, b string")
     order = [F.desc("a"), F.asc("b"), F.asc("id")]
-    got = global_row_number(df, order, "rn")
+    got = global_row_number(df, order, [-F.col("a"), F.substring("b", 1, 2)], "rn")
     ref = df.withColumn("ref", F.row_number().over(Window.orderBy(*order)))
     joined = got.join(ref, "id")
     assert joined.where(F.col("rn") != F.col("ref")).count() == 0
@@ -38,8 +38,8 @@ def test_latest_grades_keeps_last_and_groups_nulls(spark):
 
 
 def _sk_stratified_folds(y, k):
-    """Stratified k-fold without shuffle, from its public description."""
-    classes = sorted(set(y))
+    """Stratified k-fold without shuffle, from its public description: classes by first appearance."""
+    classes = list(dict.fromkeys(y))
     enc = [classes.index(v) for v in y]
     y_order = sorted(enc)
     alloc = [[sum(1 for v in y_order[i::k] if v == c) for c in range(len(classes))] for i in range(k)]
@@ -55,7 +55,7 @@ def _sk_stratified_folds(y, k):
 def test_stratified_folds_match_reference_allocation(spark):
     rnd = random.Random(3)
     for n, k in ((97, 5), (40, 3), (13, 5)):
-        y = [rnd.choice([0, 0, 1, 2]) for _ in range(n)]
+        y = [1] + [rnd.choice([0, 0, 1, 2]) for _ in range(n - 1)]
         df = spark.createDataFrame(list(enumerate(y)), "id long, label long")
         got = {r.id: r.fold for r in S.stratified_folds(df, "id", "label", k).collect()}
         assert [got[i] for i in range(n)] == _sk_stratified_folds(y, k)
@@ -85,6 +85,24 @@ def test_contrastive_pairs_partners(spark):
         assert (lab[p.id_a] == lab[p.id_b]) == (p.similarity == 1.0)
 
 
+def test_contrastive_pairs_of_more_classes(spark):
+    lab = {i: i % 3 + 4 for i in range(21)}
+    df = spark.createDataFrame(list(lab.items()), "id long, label long")
+    pairs = S.contrastive_pairs(df, "id", "label", iterations=4).collect()
+    assert len(pairs) == 21 * 4 * 2
+    assert all((lab[p.id_a] == lab[p.id_b]) == (p.similarity == 1.0) for p in pairs)
+    other = {(lab[p.id_a], lab[p.id_b]) for p in pairs if p.similarity == 0.0}
+    assert len(other) == 6
+    one = S.contrastive_pairs(df.where("label = 4"), "id", "label", iterations=2).collect()
+    assert len(one) == 14 and {p.similarity for p in one} == {1.0}
+
+
+def test_whole_test_part(spark):
+    df = spark.range(100)
+    assert S.random_split(df, "id", 1.0).where("split = 'test'").count() == 100
+    assert S.random_split(df, "id", 0.0).where("split = 'test'").count() == 0
+
+
 def _py_vocab(docs, max_df, min_df, pattern):
     import re
 
@@ -110,6 +128,19 @@ def test_vocabulary_and_prune_match_python(spark):
             assert pruned[i] == " ".join(w for w in d.split() if w.lower() in ref)
 
 
+def test_vocabulary_filter_compares_lower_case(spark):
+    docs = ["Casa casa", "casa livro", "pedra", "Livro"]
+    df = spark.createDataFrame([("c", i, d) for i, d in enumerate(docs)], "corpus string, doc_id long, text string")
+
+    def kept(**kw):
+        opts = TopicOptions(token_pattern="letter_word", **kw)
+        return [r.text for r in V.vocabulary_filter(df, "text", opts).orderBy("doc_id").collect()]
+
+    assert kept(min_df=1, max_df=0.4) == ["", "", "pedra", ""]
+    assert kept(min_df=2, max_df=1.0) == ["Casa casa", "casa livro", "", "Livro"]
+    assert kept(min_df=1, max_df=1.0) == docs
+
+
 def test_confusion_and_report(spark):
     y = [0, 0, 1, 1, 1, 2]
     p = [0, 1, 1, 1, 0, 1]

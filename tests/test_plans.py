@@ -69,29 +69,43 @@ def test_entry_runs(spark):
     assert df.count() >= 0
 
 
-def _broadcast_subtrees(plan: str):
-    lines = plan.split("\n")
-
-    def depth(line):
-        stripped = line.lstrip(" :|+-")
-        return len(line) - len(stripped)
-
-    for i, line in enumerate(lines):
-        if "BroadcastExchange" in line:
-            d, sub = depth(line), []
-            for nxt in lines[i + 1:]:
-                if nxt.strip() and depth(nxt) <= d:
-                    break
-                sub.append(nxt)
-            yield "\n".join(sub)
-
-
-def test_token_stream_is_never_the_broadcast_side(spark):
-    for name in ("mean_pooled_embedding", "padded_sequences"):
-        df = QUERIES[name](spark, SF_SMALL)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        subtrees = list(_broadcast_subtrees(plan))
-        assert subtrees, name  # the measured lookup side is broadcast at this size
-        for sub in subtrees:
-            assert "Generate" not in sub, name
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_stream_is_counted_by_hash(spark):
+    """No sort aggregate over one row per word occurrence."""
+    plan = _plan(QUERIES["token_index"](spark, SF_SMALL))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_markup_is_matched_once(spark):
+    from lexprep import constants as C
+
+    for name in ("html_text", "html_text_spaced"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("<!DOCTYPE") == 1, name
+    assert "<!DOCTYPE" in C.MARKUP_JAVA
+
+
+def test_no_job_runs_while_a_query_is_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    fitted = {"doc_vectors", "classifier_features", "ngram_classifier", "ngram_precision_at_1", "grid_search", "score_test",
+              "score_report"}
+    lazy = [q for q in E.catalog.QUERIES if q not in fitted]
+    for name in lazy:
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        E.catalog.QUERIES[name](spark, SF_SMALL)
+        jobs = tracker.getJobIdsForGroup(f"build-{name}")
+        spark.sparkContext.setJobGroup("rest", "")
+        # the file listing and schema of a table is a job of Spark's reader, one for each table read
+        assert len(jobs) <= 4, (name, len(jobs))
+
+
+def test_source_has_no_size_switch_or_local_folder():
+    import pathlib
+
+    root = pathlib.Path(E.__file__).parent / "lexprep"
+    text = "".join(p.read_text(encoding="utf-8") for p in root.rglob("*.py") if "llm" not in p.parts)
+    for word in ("HEAVY_LIMIT", "spread_small_input", "sized_for_training", "mkdtemp", ".checkpoint(", "broadcast("):
+        assert word not in text, word

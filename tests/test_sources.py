@@ -51,7 +51,26 @@ def test_text_and_labelled_line_sinks(spark):
     assert lines == ["__label__negative d e", "__label__positive a b c"]
 
 
-def test_small_inputs_are_spread_over_cores(spark):
-    df = R.table(spark, SF_SMALL, "documents")
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert df.select(F.count(F.lit(1))).first()[0] == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+def test_grades_csv_of_several_files_in_name_order(spark):
+    d = tempfile.mkdtemp(prefix="lexprep-csv2-")
+    url = "https://www.jusbrasil.com.br/jurisprudencia/1/agravo"
+    head = '"Url:","Pertinência do debate sobre a LGPD:","Decisão merece artigo ou texto no blog:"\n'
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8") as f:
+        f.write(head + f'"{url}","0 - não é decisão judicial","Não"\n')
+    with open(os.path.join(d, "b.csv"), "w", encoding="utf-8") as f:  # the larger file, read first by Spark
+        f.write(head + '"https://x/2/z","1 - não tem relação com a LGPD","Não"\n' * 500)
+        f.write(f'"{url}","4 - a LGPD é a questão central do caso","Sim"\n')
+    g = R.read_grades_csv(spark, d)
+    assert g.select("resp_id").distinct().count() == g.count() == 502
+    assert {r.grade[0] for r in L.latest_grades(g).where(F.col("url") == url).collect()} == {"4"}
+
+
+def test_text_corpus_keeps_an_order(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="lexprep-order-"), "corpus")
+    df = spark.createDataFrame([(i, f"doc {i:04d}") for i in range(500)], "id long, text string").repartition(7)
+    R.write_text_corpus(df, path, order_cols=["id"])
+    lines = []
+    for f in sorted(x for x in os.listdir(path) if x.startswith("part-")):
+        with open(os.path.join(path, f), encoding="utf-8") as h:
+            lines += h.read().splitlines()
+    assert lines == [f"doc {i:04d}" for i in range(500)]
