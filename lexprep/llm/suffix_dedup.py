@@ -45,7 +45,7 @@ from lexprep.llm.tables import written
 
 MIN = 200
 GRAM = 64
-GROUP = 256
+GROUP = 16384
 PIECE = 512 << 10
 
 
