@@ -70,7 +70,7 @@ def train(sample: list[tuple[str, int]], s: Settings = Settings()) -> Model:
         ids = np.concatenate([i[a[0]:b[0]] for i, a, b in features(data, offsets, s)])
         u, c = np.unique(ids, return_counts=True)
         if len(ids):
-            rows.append((u, (c / len(ids)).astype(np.float32), int(label)))
+            rows.append((u.astype(np.int32), (c / len(ids)).astype(np.float32), int(label)))
     seen, seen_out = np.full(s.buckets, 1e-8, np.float32), np.full((s.dim, 2), 1e-8, np.float32)
     mean = [np.mean([y == k for _, _, y in rows]) if rows else 0.5 for k in (0, 1)]
     if min(mean) <= 0:  # one class only, or nothing: the share of class 1 for all

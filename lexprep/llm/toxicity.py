@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability comes from a
-linear model over its hashed words and word pairs; the document's is their
+linear model over its hashed words; the document's is their
 noisy-or, one minus the product of what is left. Only documents have labels,
 so the gradient of the document's loss is shared out among its sentences,
 mostly to those that already look guilty. Trained, the model scores
@@ -33,9 +33,9 @@ from lexprep.llm import labelled as L
 class Settings:
     buckets: int = 1 << 18
     epochs: int = 12
-    rate: float = 0.5
+    rate: float = 1.0
     decay: float = 1e-3  # pulls the weights of a step's words to zero
-    min_docs: int = 10  # words and pairs in fewer training documents get no weight
+    min_docs: int = 10  # words of fewer training documents get no weight
     bias: float = -7.0
     max_docs: int = 12000
     max_bytes: int = 48 << 20
@@ -60,7 +60,7 @@ RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n_
 
 
 def instances(data: np.ndarray, offsets: np.ndarray, s: Settings):
-    """(ids, first, doc, from, to): hashed words and pairs by sentence; sentence k has ids first[k]..first[k+1],
+    """(ids, first, doc, from, to): hashed words by sentence; sentence k has ids first[k]..first[k+1],
     lies in text doc[k] and spans bytes from[k]..to[k] from its first word to its last."""
     shift = np.uint64(64 - (s.buckets - 1).bit_length())
     starts, ends, h, bounds = A.words(data, offsets, A.ALNUM)
@@ -73,18 +73,9 @@ def instances(data: np.ndarray, offsets: np.ndarray, s: Settings):
     new = np.ones(n, bool)
     new[1:] = stops[starts[1:]] > stops[ends[:-1]]
     new[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
-    one = (A.mix(h) >> shift).astype(np.int64)
-    with np.errstate(over="ignore"):
-        two = (A.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> shift).astype(np.int64)
-    joined = ~new[1:]  # the pair of a word and the one before it, within a sentence
-    size = np.ones(n, np.int64)
-    size[1:] += joined
-    put = np.cumsum(size) - size
-    ids = np.empty(int(size.sum()), np.int64)
-    ids[put] = one
-    ids[put[1:][joined] + 1] = two[joined]
+    ids = (A.mix(h) >> shift).astype(np.int64)
     f = np.flatnonzero(new)
-    return (ids, np.append(put[f], len(ids)), np.searchsorted(bounds, f, "right") - 1, starts[f],
+    return (ids, np.append(f, n), np.searchsorted(bounds, f, "right") - 1, starts[f],
             ends[np.append(f[1:], n) - 1])
 
 
@@ -97,7 +88,7 @@ def train(sample: list[tuple[str, int]], s: Settings = Settings()) -> Model:
     for text, label in sample:
         ids, first, *_ = instances(*A.text_buffer(pa.array([text], pa.large_string())), s)
         if len(ids):
-            rows.append((ids, first, int(label)))
+            rows.append((ids.astype(np.int32), first, int(label)))
             known[np.unique(ids)] += 1
     known = known >= s.min_docs
     for epoch in range(s.epochs):
