@@ -45,7 +45,7 @@ class Settings:
     leaf: int = 200  # rows a leaf is meant to hold
     leaf_limit: int = 1500
     spill: float = 0.06  # share of a node's sample on either side of the median that goes both ways
-    sample: int = 16384
+    sample: int = 8192
     sample_bytes: int = 32 << 20
     max_leaves: int = 4096  # of a tree that is sent to the executors
     ball_sample: int = 4096
@@ -313,8 +313,10 @@ def _of_one_length(rows: DataFrame, dim: int, s: Settings) -> DataFrame:
     n = rows.count()
     most = max(256, min(s.sample, s.sample_bytes // (8 * dim)))
     ids = rows.select("k").orderBy(F.xxhash64(F.lit(s.seed), "k"), "k").limit(most)
-    got = rows.join(F.broadcast(spark.createDataFrame([(r[0],) for r in ids.collect()], "k long")), "k").select("k", "v").collect()
-    x = matrix(pa.array([r["v"] for r in sorted(got, key=lambda r: r["k"])], pa.list_(pa.float64())), dim)
+    got = rows.join(F.broadcast(ids), "k").select("k", "v").toArrow()  # at most ``most`` rows, in Arrow's columns
+    got = got.take(np.argsort(np.asarray(got["k"]), kind="stable"))["v"]
+    x = matrix(got.combine_chunks(), dim) if len(got) else np.zeros((0, dim))
+    del got
     rng = np.random.default_rng(s.seed)
     x = x[rng.permutation(len(x))]
     angle = math.acos(s.threshold)
