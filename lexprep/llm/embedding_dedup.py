@@ -11,12 +11,20 @@ The trees are fitted on a bounded sample (``Settings.sample``,
 more than ``leaf_limit`` vectors is split further by directions made from
 its own name, with thresholds from all its vectors.
 
-Two kinds of hot groups are kept out of the leaves. Equal vectors are one
-row with a count. And vectors within half the threshold's angle of a centre
-(a sampled vector with many sampled ones so close) are all linked with each
-other: such a ball needs a count, not pairs. What links a ball's members
-with others lies within one and a half angles of its centre, and is compared
-with the members in chunks, so members need no tree.
+Hot groups are kept out of the leaves. Equal vectors are one row with a
+count. Vectors within half the threshold's angle of a centre (a sampled
+vector with many sampled ones so close) are all linked with each other: such
+a tight ball needs a count, not pairs. A wide ball is a group spread over the
+whole angle round the mean of its sample; its members are compared with each
+other completely. What links a ball's members with others lies within its
+radius and one angle more of its centre, and is compared with the members,
+so members need no tree.
+
+Random splits would part the links of a group that fills a node. So a node
+of which a good part of the pairs links is split no further, in the sample as
+in the full leaves, whatever its size: at most ``1 / dense`` comparisons for
+each link. Balls and such leaves are cut into chunks of bounded size, and
+each task compares two of them.
 
 Vectors that are null, zero, or hold a null or non-finite component are
 returned with no links, as their own component. Vectors of different length
@@ -50,7 +58,10 @@ class Settings:
     max_leaves: int = 4096  # of a tree that is sent to the executors
     ball_sample: int = 4096
     ball_share: float = 1 / 128  # of the sample within half the angle, for a centre
-    chunk: int = 512
+    dense: float = 1 / 8  # share of linked pairs from which on pairs are compared completely
+    chunk: int = 512  # least rows of a chunk; the rows are dealt over ``parts`` while these stay within chunk_bytes
+    parts: int = 12
+    chunk_bytes: int = 16 << 20
     seed: int = 29
 
 
@@ -72,6 +83,12 @@ class Tree:
     leaves: int
 
 
+def linked_share(x: np.ndarray, threshold: float) -> float:
+    """Share of the pairs that link."""
+    n = len(x)
+    return float(((x @ x.T >= threshold).sum() - n) / max(n * (n - 1), 1))
+
+
 def fit_tree(x: np.ndarray, n_rows: int, s: Settings, rng) -> Tree:
     """Split the sample until a leaf would hold about ``leaf`` of ``n_rows`` rows."""
     scale = n_rows / max(len(x), 1)
@@ -79,7 +96,9 @@ def fit_tree(x: np.ndarray, n_rows: int, s: Settings, rng) -> Tree:
 
     def grow(idx, depth):
         nonlocal leaves
-        if len(idx) * scale <= s.leaf or len(idx) < 8 or 2 ** depth >= s.max_leaves:
+        few = len(idx) * scale <= s.leaf_limit
+        if len(idx) * scale <= s.leaf or len(idx) < 8 or 2 ** depth >= s.max_leaves or \
+                linked_share(x[idx[:128]], s.threshold) >= (s.dense / 4 if few else s.dense):
             leaves += 1
             return -leaves
         a, b = rng.choice(idx, 2, replace=False)
@@ -128,31 +147,67 @@ def drop(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(leaves)
 
 
-def fit_balls(x: np.ndarray, s: Settings) -> np.ndarray:
-    """Centres with many sampled vectors within half the angle, the fullest first, none inside another's ball."""
+@dataclass
+class Balls:
+    """Centres, the tight ones first; cosines from which on a row is a member, and may link with one."""
+
+    centres: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+    tight: int
+
+
+def fit_balls(x: np.ndarray, s: Settings) -> Balls:
+    """Centres of groups that hold a share of the sample, the fullest first: tight ones, none inside another's ball, and
+    of what these leave wide ones, where a complete comparison makes no more than 1 / dense comparisons for each link."""
     x = x[:s.ball_sample]
-    half = math.cos(math.acos(s.threshold) / 2)
-    count = np.concatenate([((x[k:k + 512] @ x.T) >= half).sum(axis=1) for k in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+    angle = math.acos(s.threshold)
+    cos = lambda a: math.cos(min(a, math.pi))
+    half, least = cos(angle / 2) + 1e-9, max(16, s.ball_share * len(x))
+    near = np.zeros((len(x), len(x)), bool)
+    count = np.zeros(len(x))
+    for k in range(0, len(x), 512):
+        c = x[k:k + 512] @ x.T
+        count[k:k + 512] = (c >= half).sum(axis=1)
+        near[k:k + 512] = c >= s.threshold
     free, centres = np.ones(len(x), bool), []
+    untried = free.copy()
     while len(x):
-        k = int(np.argmax(np.where(free, count, 0)))
-        if not free[k] or count[k] < max(16, s.ball_share * len(x)):
+        k = int(np.argmax(np.where(untried, count, 0)))
+        if not untried[k] or count[k] < least:
             break
         inside = x @ x[k] >= half
-        if (inside & free).sum() < max(16, s.ball_share * len(x)):
-            free[k] = False
+        if (inside & free).sum() < least:
+            untried[k] = False
             continue
         centres.append(x[k])
         free &= ~inside
-    return np.array(centres) if centres else np.zeros((0, x.shape[1]))
-
-
-def _pairs(x: np.ndarray, y: np.ndarray, threshold: float):
-    """Row pairs with a cosine of at least the threshold, block by block."""
-    for i in range(0, len(x), 1024):
-        for j in range(0, len(y), 1024):
-            a, b = np.nonzero(x[i:i + 1024] @ y[j:j + 1024].T >= threshold)
-            yield a + i, b + j
+        untried &= ~inside
+    tight = len(centres)
+    untried = free.copy()
+    while untried.any():
+        count = near[:, free].sum(axis=1)
+        k = int(np.argmax(np.where(untried, count, 0)))
+        if not untried[k] or count[k] < least:
+            break
+        inside = near[k] & free
+        for _ in range(2):  # the mean of a spread group is nearer to all of it than any member
+            centre = x[inside].sum(axis=0)
+            centre /= np.sqrt(centre @ centre)
+            to = x @ centre
+            if not (free & (to >= s.threshold)).any():
+                break
+            inside = free & (to >= s.threshold)
+        m, all_near = inside.sum(), (to >= cos(2 * angle)).sum()
+        links = (near[inside][:, inside].sum() - m) / 2
+        untried &= ~(near[k] | inside)
+        if m >= least and s.dense * m * (m / 2 + all_near - m) <= links:
+            centres.append(centre)
+            free &= ~inside
+            untried &= free
+    wide = len(centres) - tight
+    return Balls(np.array(centres) if centres else np.zeros((0, x.shape[1])), np.array([half] * tight + [s.threshold] * wide),
+                 np.array([cos(1.5 * angle) - 1e-9] * tight + [cos(2 * angle) - 1e-9] * wide), tight)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,56 +234,109 @@ def _result(k, to, links):
     return pa.table({"k": pa.array(k, pa.int64()), "to": pa.array(to, pa.int64()), "links": pa.array(links, pa.int64())})
 
 
-def _compare_leaf(dim: int, threshold: float):
-    """A leaf's rows to: links found here and in no earlier leaf, and a row to be joined with."""
+FEW = 1 << 15  # links of a block that are taken one by one
+
+
+def _joined(root: np.ndarray, near: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that each row reaches, with the links of a block of rows a and b put in."""
+    while True:
+        apart = near & (root[a][:, None] != root[b][None, :])
+        n = np.count_nonzero(apart)
+        if not n:
+            return root
+        if n > FEW:  # the first of each row and column; what stays apart comes again
+            p, q = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+            p, q = np.concatenate([p, apart.argmax(axis=0)[q]]), np.concatenate([apart.argmax(axis=1)[p], q])
+        else:
+            p, q = np.nonzero(apart)
+        root = _forest(len(root), root[a[p]], root[b[q]])[root]
+
+
+NONE = np.iinfo(np.int64).max
+
+
+def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two blocks have a leaf in common."""
+    common = np.intersect1d(a, b)
+    common = common[common != NONE]
+    if not len(common):
+        return np.zeros((len(a), len(b)), bool)
+
+    def marks(codes):
+        at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+        row, i = np.nonzero(common[at] == codes)
+        out = np.zeros((len(codes), len(common)), np.float32)
+        out[row, at[row, i]] = 1
+        return out
+
+    return marks(a) @ marks(b).T > 0
+
+
+def _compare(dim: int, threshold: float):
+    """Two chunks i and j of a ball or leaf, or one with itself, to: links found here and in no earlier leaf, and a row to
+    be joined with."""
 
     def run(t: pa.Table) -> pa.Table:
-        k, size = np.asarray(t["k"]), np.asarray(t["size"])
+        k, size, chunk = np.asarray(t["k"]), np.asarray(t["size"]), np.asarray(t["chunk"])
         x = matrix(t["v"].combine_chunks(), dim)
-        own = t["leaf"][0].as_py()
+        own, i, j = (t[c][0].as_py() for c in ("leaf", "i", "j"))
         lists = t["leaves"].combine_chunks()
         count = np.diff(np.asarray(lists.offsets))
         width = int(count.max())
-        codes = np.full((len(k), width), np.iinfo(np.int64).max)
+        codes = np.full((len(k), width), NONE)
         codes[np.arange(width) < count[:, None]] = np.asarray(lists.flatten())
-        links, all_a, all_b = np.zeros(len(k), np.int64), [], []
-        for a, b in _pairs(x, x, threshold):
-            keep = a < b
-            a, b = a[keep], b[keep]
-            all_a.append(a)
-            all_b.append(b)
-            seen = np.zeros(len(a), bool)
-            for i in range(width):
-                left = codes[a, i]
-                early = (left < own) & ~seen
-                if early.any():
-                    seen[early] = (codes[b[early]] == left[early, None]).any(axis=1)
-            a, b = a[~seen], b[~seen]
-            links += np.bincount(a, size[b], len(k)).astype(np.int64) + np.bincount(b, size[a], len(k)).astype(np.int64)
-        root = _forest(len(k), np.concatenate(all_a), np.concatenate(all_b))
+        codes[codes >= own] = NONE
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        links, root = np.zeros(len(k), np.int64), np.arange(len(k))
+        for u in range(0, len(left), 1024):
+            for w in range(u if i == j else 0, len(right), 1024):
+                a, b = left[u:u + 1024], right[w:w + 1024]
+                near = x[a] @ x[b].T >= threshold
+                if i == j and u == w:
+                    near = np.triu(near, 1)
+                n = np.count_nonzero(near)
+                if not n:
+                    continue
+                root = _joined(root, near, a, b)
+                if n > FEW:
+                    if width:
+                        near &= ~_met(codes[a], codes[b])
+                    links[a] += np.rint(near @ size[b].astype(np.float64)).astype(np.int64)
+                    links[b] += np.rint(size[a].astype(np.float64) @ near).astype(np.int64)
+                    continue
+                p, q = np.nonzero(near)
+                p, q = a[p], b[q]
+                seen = np.zeros(len(p), bool)
+                for c in range(width):
+                    early = (codes[p, c] != NONE) & ~seen
+                    if early.any():
+                        seen[early] = (codes[q[early]] == codes[p[early], c][:, None]).any(axis=1)
+                p, q = p[~seen], q[~seen]
+                links += np.bincount(p, size[q], len(k)).astype(np.int64) + np.bincount(q, size[p], len(k)).astype(np.int64)
         use = (links > 0) | (root != np.arange(len(k)))
         return _result(k[use], k[root[use]], links[use])
 
     return run
 
 
-def _compare_ball(dim: int, threshold: float):
-    """A chunk of a ball's members against all vectors near the ball."""
+def _chunks(n, least: int, dim: int, s: Settings):
+    """Number of chunks for n rows."""
+    most = max(least, s.chunk_bytes // (8 * dim))
+    return F.ceil(n / F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(n / s.parts)))).cast("int")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """A row with its chunk and an array of others, to a row for each pair i <= j of its chunk and another."""
+    return rows.withColumn("other", F.explode("others")).select(
+        "k", "leaf", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
+def _density(dim: int, threshold: float):
+    """Sampled rows of a leaf to the share of their pairs that link."""
 
     def run(t: pa.Table) -> pa.Table:
-        k, size, inner = np.asarray(t["k"]), np.asarray(t["size"]), np.asarray(t["inner"])
-        x = matrix(t["v"].combine_chunks(), dim)
-        m, o = np.flatnonzero(inner), np.flatnonzero(~inner)
-        links = np.zeros(len(k), np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in _pairs(x[m], x[o], threshold):
-            i, j = m[i], o[j]
-            links += np.bincount(i, size[j], len(k)).astype(np.int64) + np.bincount(j, size[i], len(k)).astype(np.int64)
-            a.append(i)
-            b.append(j)
-        root = _forest(len(k), np.concatenate(a), np.concatenate(b))
-        use = (links > 0) | (root != np.arange(len(k)))
-        return _result(k[use], k[root[use]], links[use])
+        share = linked_share(matrix(t["v"].combine_chunks(), dim), threshold)
+        return pa.table({"leaf": t["leaf"].combine_chunks()[:1], "share": pa.array([share], pa.float64())})
 
     return run
 
@@ -237,7 +345,8 @@ def _place(dim: int, handle):
     """Rows to (k, tree, leaf) for each leaf, and (k, -1, ball) for a ball's member, (k, -2, ball) for one near it."""
 
     def run(batches):
-        trees, centres, half, wide = handle.value
+        trees, balls = handle.value
+        centres = balls.centres
         for b in batches:
             if not b.num_rows:
                 continue
@@ -246,14 +355,14 @@ def _place(dim: int, handle):
             free = np.ones(len(k), bool)
             if len(centres):
                 cos = x @ centres.T
-                first = (cos >= half).argmax(axis=1)
-                inner = cos[np.arange(len(k)), first] >= half
+                first = (cos >= balls.inner).argmax(axis=1)
+                inner = cos[np.arange(len(k)), first] >= balls.inner[first]
                 free = ~inner
                 ks.append(k[inner])
                 ts.append(np.full(inner.sum(), -1))
                 ls.append(first[inner])
                 # a member of an earlier ball meets this one's members there
-                row, ball = np.nonzero((cos >= wide) & (~inner[:, None] | (first[:, None] > np.arange(len(centres)))))
+                row, ball = np.nonzero((cos >= balls.outer) & (~inner[:, None] | (first[:, None] > np.arange(len(centres)))))
                 ks.append(k[row])
                 ts.append(np.full(len(row), -2))
                 ls.append(ball)
@@ -287,12 +396,18 @@ def _project(dim: int):
 
 
 def _split_full(placed: DataFrame, rows: DataFrame, dim: int, s: Settings, rounds: int = 64) -> DataFrame:
-    """(k, leaf): leaves over the limit split by their own directions, until none is."""
+    """(k, leaf): leaves over the limit split by their own directions, until none is but dense ones."""
     done = None
     for _ in range(rounds):
-        full = written(placed.groupBy("leaf").count().where(F.col("count") > s.leaf_limit).select("leaf"), "full_leaves")
-        if full.isEmpty():
+        over = written(placed.groupBy("leaf").count().where(F.col("count") > s.leaf_limit), "full_leaves")
+        if over.isEmpty():
             return placed if done is None else done.unionByName(placed)
+        # some 256 rows of each leaf
+        some = placed.join(over, "leaf").where(F.pmod(F.xxhash64(F.lit(s.seed), "leaf", "k"), F.col("count")) < 256)
+        share = some.join(rows.select("k", "v"), "k").select("leaf", "v").groupBy("leaf").applyInArrow(
+            _density(dim, s.threshold), "leaf long, share double")
+        dense = written(share.where(F.col("share") >= s.dense).select("leaf"), "dense_leaves")
+        full = over.select("leaf").join(dense, "leaf", "left_anti")
         fit = placed.join(full, "leaf", "left_anti")
         done = fit if done is None else done.unionByName(fit)
         p = placed.join(full, "leaf").join(rows.select("k", "v"), "k").select("k", "leaf", "v")
@@ -319,35 +434,44 @@ def _of_one_length(rows: DataFrame, dim: int, s: Settings) -> DataFrame:
     del got
     rng = np.random.default_rng(s.seed)
     x = x[rng.permutation(len(x))]
-    angle = math.acos(s.threshold)
-    half, wide = math.cos(angle / 2) + 1e-9, math.cos(min(1.5 * angle, math.pi)) - 1e-9
-    centres = fit_balls(x, s)
-    loose = x[(x @ centres.T < half).all(axis=1)] if len(centres) else x
+    balls = fit_balls(x, s)
+    loose = x[(x @ balls.centres.T < balls.inner).all(axis=1)] if len(balls.centres) else x
     trees = [fit_tree(loose, max(1, round(n * len(loose) / len(x))), s, rng) for _ in range(s.trees)] if len(loose) else []
     if not trees:
         trees = [fit_tree(x, n, s, rng)]
-    handle = spark.sparkContext.broadcast((trees, centres, half, wide))
+    handle = spark.sparkContext.broadcast((trees, balls))
     placed = written(A.map_arrow(rows.select("k", "v"), _place(dim, handle), "k long, tree long, leaf long"), "placed")
 
-    # balls: all members are linked with each other
-    member = placed.where("tree = -1").select("k", F.col("leaf").alias("ball"))
+    # tight balls: all members are linked with each other
+    member = placed.where("tree = -1").select("k", "leaf")
     sizes = rows.select("k", "size")
-    balls = written(member.join(sizes, "k").groupBy("ball").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("members"),
+    total = written(member.join(sizes, "k").groupBy("leaf").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("members"),
                                                                 F.min("k").alias("to")), "balls")  # a row for each centre
-    of_ball = member.join(sizes, "k").join(F.broadcast(balls), "ball").select("k", "to", (F.col("total") - F.col("size")).alias("links"))
-    near = placed.where("tree = -2").select("k", F.col("leaf").alias("ball"))
-    met = F.broadcast(written(near.groupBy("ball").count().select("ball"), "met_balls").join(
-        balls, "ball").select("ball", F.ceil(F.col("members") / s.chunk).cast("int").alias("chunks")))
-    inner = member.join(met, "ball").select("k", "ball", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("inner"))
-    outer = near.join(met, "ball").select("k", "ball", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("inner"))
-    across = inner.unionByName(outer).join(rows, "k").groupBy("ball", "chunk").applyInArrow(_compare_ball(dim, s.threshold), FOUND)
+    tight = F.col("leaf") < balls.tight
+    of_ball = member.where(tight).join(sizes, "k").join(F.broadcast(total), "leaf").select("k", "to", (F.col("total") - F.col("size")).alias("links"))
+    # members in chunks 0 to p - 1, what is near them in chunks p to p + q - 1
+    near = placed.where("tree = -2").select("k", "leaf")
+    p, q = F.col("p"), F.col("q")
+    met = written(total.join(near.groupBy("leaf").agg(F.count(F.lit(1)).alias("near")), "leaf", "left").select(
+        "leaf", _chunks(F.col("members"), s.chunk, dim, s).alias("p"),
+        F.coalesce(_chunks(F.col("near"), s.chunk, dim, s), F.lit(0)).alias("q")), "met_balls")
+    met = F.broadcast(met)
+    own, outside = F.sequence(F.lit(0), p - 1), F.when(q > 0, F.sequence(p, p + q - 1)).otherwise(F.array().cast("array<int>"))
+    inner = member.join(met, "leaf").select("k", "leaf", F.pmod(F.xxhash64("k"), p).cast("int").alias("chunk"),
+                                            F.when(tight, outside).otherwise(F.concat(own, outside)).alias("others"))
+    outer = near.join(met, "leaf").select("k", "leaf", (p + F.pmod(F.xxhash64("k"), q)).cast("int").alias("chunk"), own.alias("others"))
+    across = (_blocks(inner.unionByName(outer)).withColumn("leaves", F.array().cast("array<long>")).join(rows, "k")
+              .groupBy("leaf", "i", "j").applyInArrow(_compare(dim, s.threshold), FOUND))
 
     # leaves: a leaf's code orders first by tree
     in_leaf = placed.where("tree >= 0").select("k", (F.col("tree") * s.max_leaves * 2 + F.col("leaf")).alias("leaf"))
     in_leaf = _split_full(in_leaf, rows, dim, s)
-    own = (in_leaf.groupBy("k").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")).join(rows, "k")
-           .select("k", "v", "size", "leaves", F.explode("leaves").alias("leaf")))
-    inside = own.groupBy("leaf").applyInArrow(_compare_leaf(dim, s.threshold), FOUND)
+    large = written(in_leaf.groupBy("leaf").count().where(F.col("count") > s.leaf_limit).select(
+        "leaf", _chunks(F.col("count"), s.leaf_limit, dim, s).alias("p")), "large_leaves")
+    whole = in_leaf.join(large, "leaf", "left").select("k", "leaf", F.coalesce("p", F.lit(1)).alias("p"))
+    parts = _blocks(whole.select("k", "leaf", F.pmod(F.xxhash64("k", "leaf"), p).cast("int").alias("chunk"), F.sequence(F.lit(0), p - 1).alias("others")))
+    full_rows = in_leaf.groupBy("k").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")).join(rows, "k")
+    inside = parts.join(full_rows, "k").groupBy("leaf", "i", "j").applyInArrow(_compare(dim, s.threshold), FOUND)
     return of_ball.unionByName(across).unionByName(inside)
 
 

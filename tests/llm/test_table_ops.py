@@ -189,6 +189,28 @@ def test_embeddings_match_brute_force(spark):
                 assert got[k]["n_links"] == 0 and got[k]["component_id"] == k
 
 
+def planted_group(n, cosine, dim, rng):
+    """Vectors of independent noise round one centre, with a mean cosine of ``cosine`` to each other."""
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    return math.sqrt(cosine) * unit(rng.standard_normal(dim)) + math.sqrt(1 - cosine) * unit(rng.standard_normal((n, dim)))
+
+
+@pytest.mark.parametrize("settings", [embedding_dedup.Settings(), embedding_dedup.Settings(ball_share=2.0),
+                                      embedding_dedup.Settings(ball_share=2.0, sample=512, chunk=700)])
+def test_links_inside_a_large_spread_group(spark, settings):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.standard_normal((4000, 64)), planted_group(4000, 0.96, 64, rng), planted_group(1000, 0.955, 64, rng)])
+    near = brute_links([list(x) for x in v])
+    df = spark.createDataFrame([(k, list(map(float, x))) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["id"]: r for r in embedding_dedup.near_duplicates(df, settings=settings).collect()}
+    assert all(got[k]["n_links"] <= len(near[k]) for k in got)
+    for group in (range(4000, 8000), range(8000, 9000)):
+        found, true = sum(got[k]["n_links"] for k in group), sum(len(near[k]) for k in group)
+        print(f"recall of links in a group of {len(group)}: {found / true:.4f} of {true}")
+        assert found >= 0.99 * true
+        assert sum(got[k]["component_id"] == group[0] for k in group if near[k]) >= 0.999 * sum(k in near for k in group)
+
+
 def test_embeddings_of_odd_tables(spark):
     kind = "vec_id long, embedding array<float>"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
