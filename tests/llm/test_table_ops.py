@@ -211,6 +211,28 @@ def test_links_inside_a_large_spread_group(spark, settings):
         assert sum(got[k]["component_id"] == group[0] for k in group if near[k]) >= 0.999 * sum(k in near for k in group)
 
 
+def test_no_task_gets_a_whole_shell(spark, monkeypatch):
+    compare, most = embedding_dedup._compare, 600
+
+    def bounded(*args):
+        run = compare(*args)
+
+        def checked(t):
+            assert t.num_rows <= most
+            return run(t)
+
+        return checked
+
+    monkeypatch.setattr(embedding_dedup, "_compare", bounded)
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(24)
+    v = np.concatenate([centre + 0.03 * rng.standard_normal((600, 24)), centre + 0.3 * rng.standard_normal((1500, 24))])
+    near = brute_links([list(x) for x in v])
+    df = spark.createDataFrame([(k, list(map(float, x))) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["id"]: r for r in embedding_dedup.near_duplicates(df, settings=embedding_dedup.Settings(chunk=128, leaf_limit=200)).collect()}
+    assert sum(got[k]["n_links"] for k in range(600)) == sum(len(near[k]) for k in range(600))
+
+
 def test_embeddings_of_odd_tables(spark):
     kind = "vec_id long, embedding array<float>"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
