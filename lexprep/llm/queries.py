@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexprep.llm import brown_lm as B
 from lexprep.llm import decontaminate as D
 from lexprep.llm import embedding_dedup as V
+from lexprep.llm import exact_dedup as E
 from lexprep.llm import labelled as L
 from lexprep.llm import license_scan as N
 from lexprep.llm import mixing as M
@@ -19,6 +20,7 @@ from lexprep.llm import simhash as S
 from lexprep.llm import suffix_dedup as R
 from lexprep.llm import toxicity as X
 from lexprep.llm import url_reputation as U
+from lexprep.llm.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -184,4 +186,16 @@ def op7_mixing(spark, sf_dir):
     return M.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+@register("op13_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
+def op13_exact_dedup(spark, sf_dir):
+    """Per document: the id that stands for its text, the size of its group, and whether it stays: the whole table as
+    the first batch of a new index."""
+    index = E.open_index(spark, shared_folder(spark, "digest_index"))
+    got = E.ingest(read(spark, sf_dir, "documents").select("doc_id", "text"), index, "documents")
+    return got.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
