@@ -194,8 +194,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` by a function of this package."""
+    """``mapInArrow`` by a function of this package, which gets the columns in their order. Names that Spark would read
+    as a path or could not tell apart are replaced on the way in."""
     ship(df.sparkSession)
+    if any("." in c or "`" in c for c in df.columns) or len({c.lower() for c in df.columns}) < len(df.columns):
+        df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     return df.mapInArrow(run, schema)
 
 

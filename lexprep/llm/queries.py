@@ -18,6 +18,7 @@ from lexprep.llm import mixing as M
 from lexprep.llm import quality as Q
 from lexprep.llm import simhash as S
 from lexprep.llm import suffix_dedup as R
+from lexprep.llm import token_alignment as K
 from lexprep.llm import toxicity as X
 from lexprep.llm import url_reputation as U
 from lexprep.llm.tables import shared_folder
@@ -186,6 +187,13 @@ def op7_mixing(spark, sf_dir):
     return M.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+@register("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    """Per document: tokens, groups and links of two tokenizers, and how common its links are in the corpus."""
+    got = K.document_counts(K.align(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return got.withColumnsRenamed({"id": "doc_id", "digest": "groups_sha256"})
+
+
 @register("op13_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
