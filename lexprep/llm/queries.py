@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexprep.llm import brown_lm as B
+from lexprep.llm import collocations as C
 from lexprep.llm import decontaminate as D
 from lexprep.llm import embedding_dedup as V
 from lexprep.llm import exact_dedup as E
@@ -187,6 +188,33 @@ def op7_mixing(spark, sf_dir):
     return M.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+@register("op11_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g, count(*) AS f FROM
+  (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.f AS a, j, x.f AS l, y.f AS r,
+    CAST(CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+  JOIN f x ON x.lang = c.lang AND x.g = array_to_string(list_slice(string_split(c.g, ' '), 1, j), ' ')
+  JOIN f y ON y.lang = c.lang AND y.g = array_to_string(list_slice(string_split(c.g, ' '), j + 1, c.k), ' ')),
+weak AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+longer AS (SELECT lang, array_to_string(list_slice(string_split(g, ' '), s, s + 1), ' ') AS g, max(f) AS m
+  FROM (SELECT *, unnest([1, 2]) AS s FROM f WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT weak.* FROM weak LEFT JOIN longer ON weak.lang = longer.lang AND weak.g = longer.g AND k = 2
+  WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""")
+def op11_collocations(spark, sf_dir):
+    """Per language: the first 2000 phrases by the score of their weakest cut."""
+    return C.phrases(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 @register("op12_token_alignment")
 def op12_token_alignment(spark, sf_dir):
     """Per document: tokens, groups and links of two tokenizers, and how common its links are in the corpus."""
