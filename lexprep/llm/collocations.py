@@ -33,10 +33,10 @@ from lexprep.llm import quotient_filter as Q
 from lexprep.llm.blocks import block_id, dictionary
 from lexprep.llm.tables import quoted, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Filter entries that a task holds before it sends them on, and those that a part shall have at most on average.
-HELD_ENTRIES = 8 << 20
-PART_ENTRIES = 2 << 20
+HELD_ENTRIES = 2 << 20
+PART_ENTRIES = 1 << 20
 ID_BUCKET = 1 << 16
 #: Candidate phrases that one task ranks.
 RANK_ROWS = 1 << 16
