@@ -41,11 +41,15 @@ from lexprep.llm import arrow as A
 from lexprep.llm.blocks import block_id, dictionary
 from lexprep.llm.tables import quoted, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of distinct stretches that are put together into one text for the tokenizers.
 ENCODE_BYTES = 32 << 10
+#: How many such texts are encoded at once.
+WAVE = 16
 SPACE_MARK = "▁"
 MARK_BYTES = SPACE_MARK.encode()
+#: What follows a token id: another of its side, the other side, or the next group.
+MARKS = ",|;"
 
 
 @dataclass(frozen=True)
@@ -89,8 +93,9 @@ class Pair:
                         for i, p in enumerate(pieces)]
         self.a_len = np.array([len(x) for x in self.a_bytes])
         self.b_len = np.array([len(x) for x in self.b_bytes])
-        self.number = [str(i) for i in range(max(len(self.a_bytes), n))]
-        self.digits = np.array([len(x) for x in self.number])
+        numbers = [str(i) for i in range(max(len(self.a_bytes), n))]
+        self.marked = [x + m for x in numbers for m in MARKS]
+        self.digits = np.array([len(x) for x in numbers])
         split = told.get("pre_tokenizer") or {}
         self.cuts = (told.get("normalizer") is None and split.get("type") == "ByteLevel" and bool(split.get("use_regex"))
                      and not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces))
@@ -170,15 +175,16 @@ class Stretches:
     links: np.ndarray     # A id << 32 | B id, in order of place
     bounds: np.ndarray    # those of stretch i are bounds[i]..bounds[i+1]
     groups: list[str]     # `a1,a2|b1;a3|b2;`
-    ends: list[np.ndarray]  # byte ends of the groups within space+stretch
+    ends: np.ndarray      # byte ends of the groups within space+stretch
+    end_bounds: np.ndarray
 
 
 def aligned(pair: Pair, stretches: list[bytes]) -> Stretches:
     n = len(stretches)
     zero = lambda: np.zeros(n, np.int64)
     out = Stretches(np.zeros(n, bool), zero(), zero(), zero(), np.zeros(0, np.int64), np.zeros(n + 1, np.int64),
-                    [""] * n, [np.zeros(0, np.int64)] * n)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+                    [""] * n, np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
+    found: list[tuple] = []
     todo, batch, size = [], [], 0
     for k, s in enumerate(stretches):
         if MARK_BYTES in s:
@@ -195,8 +201,8 @@ def aligned(pair: Pair, stretches: list[bytes]) -> Stretches:
         todo.append(batch)
     while todo:
         wave, todo = todo, []
-        for i in range(0, len(wave), 64):
-            part = wave[i:i + 64]
+        for i in range(0, len(wave), WAVE):
+            part = wave[i:i + WAVE]
             texts = [b"".join(b" " + stretches[k] for k in ks) for ks in part]
             for ks, text, tokens in zip(part, texts, pair.tokens(texts)):
                 stops = np.cumsum([len(stretches[k]) + 1 for k in ks])
@@ -204,41 +210,43 @@ def aligned(pair: Pair, stretches: list[bytes]) -> Stretches:
                     found.append(_place(pair, out, np.array(ks), stops, *tokens))
                 elif len(ks) > 1:  # one of them is not given back
                     todo.extend([k] for k in ks)
-    if found:
-        link, of = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        out.links = link[np.argsort(of, kind="stable")]
-        out.bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
+    out.links, out.bounds = _by_stretch(found, 0, n)
+    out.ends, out.end_bounds = _by_stretch(found, 2, n)
     return out
 
 
-def _place(pair: Pair, out: Stretches, ks: np.ndarray, stops: np.ndarray, ia, ea, ib, eb) -> tuple[np.ndarray, np.ndarray]:
-    """Fill in the stretches that make up one text; (links, the stretch of each)."""
+def _by_stretch(found: list[tuple], k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and the stretch of each, as values in the order of stretches and the bounds of each stretch."""
+    values, of = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (k, k + 1))
+    return values[np.argsort(of, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
+
+
+def _place(pair: Pair, out: Stretches, ks: np.ndarray, stops: np.ndarray, ia, ea, ib, eb) -> tuple[np.ndarray, ...]:
+    """Fill in the stretches that make up one text; (links, the stretch of each, ends of groups, the stretch of each)."""
     m = len(ks)
     common = np.intersect1d(ea, eb, assume_unique=True)
     every = np.union1d(ea, eb)  # between two neighbours lies the overlap of one A and one B token
+    at = np.searchsorted(stops, common)
     out.good[ks] = True
     out.n_a[ks] = np.bincount(np.searchsorted(stops, ea), minlength=m)
     out.n_b[ks] = np.bincount(np.searchsorted(stops, eb), minlength=m)
-    out.n_groups[ks] = per = np.bincount(np.searchsorted(stops, common), minlength=m)
+    out.n_groups[ks] = per = np.bincount(at, minlength=m)
     ids = np.concatenate([ia, ib])
     place = np.concatenate([np.searchsorted(common, ea) * 2, np.searchsorted(common, eb) * 2 + 1])
     order = np.argsort(place, kind="stable")
     ids, place = ids[order], place[order]
-    step = np.append(place[1:] - place[:-1] + (place[:-1] & 1) * 2, 9)  # 0, 2: on in a side; 1: from A to B
-    mark = np.where(step == 1, "|", np.where(place[:] == np.append(place[1:], -1), ",", ";"))
-    line = "".join([x for pair_ in zip(map(pair.number.__getitem__, ids.tolist()), mark.tolist()) for x in pair_])
+    after = np.append(place[1:], -1)
+    mark = np.where(after == place, 0, np.where(place & 1, 2, 1))
+    line = "".join(map(pair.marked.__getitem__, (ids * len(MARKS) + mark).tolist()))
     chars = np.cumsum(pair.digits[ids] + 1)
     last = np.searchsorted(place, 2 * np.cumsum(per) - 1, "right") - 1  # last token of each stretch
     a = 0
-    ends = np.split(common, np.cumsum(per)[:-1])
-    begins = np.concatenate([[0], stops[:-1]])
-    for j, k in enumerate(ks.tolist()):
-        b = int(chars[last[j]])
+    for k, b in zip(ks.tolist(), chars[last].tolist()):
         out.groups[k] = line[a:b]
-        out.ends[k] = ends[j] - begins[j]
         a = b
     links = ia[np.searchsorted(ea, every)] << 32 | ib[np.searchsorted(eb, every)]
-    return links, ks[np.searchsorted(stops, every)]
+    begins = np.concatenate([[0], stops[:-1]])
+    return links, ks[np.searchsorted(stops, every)], common - begins[at], ks[at]
 
 
 class Block:
@@ -292,10 +300,10 @@ def with_groups(docs: DataFrame, name: str, text_col: str = "text", files: Files
             for i, j, data, offsets in _blocks(batch, column):
                 block = Block(pair, data, offsets)
                 groups += block.groups()
+                e, b = block.got.ends, block.got.end_bounds
                 for lo, hi in zip(block.bounds[:-1], block.bounds[1:]):
                     at = np.cumsum(np.append(0, block.lengths[lo:hi]))
-                    ends.append(np.concatenate([block.got.ends[c] + s for c, s in zip(block.codes[lo:hi], at)])
-                                if hi > lo else np.zeros(0, np.int64))
+                    ends.append(np.concatenate([np.zeros(0, np.int64), *(e[b[c]:b[c + 1]] + s for c, s in zip(block.codes[lo:hi], at))]))
             cell = pa.StructArray.from_arrays([pa.array(groups, pa.string()), pa.array(ends, pa.list_(pa.int64()))],
                                               ["groups", "ends"])
             yield pa.RecordBatch.from_arrays([*batch.columns, cell], names=[f.name for f in out.fields])
