@@ -105,6 +105,11 @@ GRID_SVC_C = (0.1, 1.0)
 GRID_GBT_RATE = (0.01, 0.1)
 GRID_GBT_DEPTH = (10, None)
 GRID_GBT_ITERATIONS = (10, 100)
+GRID_LEAFWISE_KIND = ("gbdt", "dart", "goss")
+GRID_LEAFWISE_LEAVES = (20, 30)
+GRID_LEAFWISE_DEPTH = (None, 10, 20, 25)
+GRID_LEAFWISE_RATE = (0.001, 0.1)
+GRID_LEAFWISE_ITERATIONS = (10, 100)
 
 # Smoothed-metric epsilon (public default of the Keras backend).
 EPSILON = 1e-7

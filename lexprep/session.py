@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes
@@ -30,3 +34,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once for each Spark context: they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexprep_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="lexprep-")) / "lexprep_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.writestr(f"{top.name}/{f.relative_to(top).as_posix()}", f.read_text(encoding="utf-8"))
+    sc.addPyFile(str(path))
+    sc._lexprep_shipped = True
