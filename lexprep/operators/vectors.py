@@ -132,8 +132,11 @@ def padded_sequences(docs: DataFrame, index: DataFrame, id_col: str = "doc_id",
     sequence keeps its last ``maxlen`` ids, a shorter one is padded with 0
     after. (id, n_ids, seq array<long>)."""
     ex = docs.select(id_col, F.posexplode(seq_tokens(text_col)).alias("pos", "token"))
-    ids = (ex.join(index.select("token", "idx"), "token")
-           .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_p")))
+    # one row for each document and word, with its positions, meets the index
+    postings = ex.groupBy(id_col, "token").agg(F.collect_list("pos").alias("_at"))
+    placed = F.transform("_at", lambda p: F.struct(p.alias("pos"), F.col("idx").alias("idx")))
+    ids = (postings.join(index.select("token", "idx"), "token").select(id_col, placed.alias("_at"))
+           .groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list("_at"))).alias("_p")))
     seq = F.coalesce(F.col("_p.idx"), F.array().cast("array<long>"))
     base = docs.select(id_col).join(ids, id_col, "left").select(id_col, seq.alias("_s"))
     n = F.size("_s")

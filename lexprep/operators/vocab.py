@@ -4,10 +4,10 @@ Scale notes
 - Document frequency is ``explode(array_distinct(terms))`` then
   ``groupBy(corpus, term).count()``: map-side partial aggregation
   collapses a hot term to one row per map task before the shuffle.
-- Pruning is one path whatever the options: tokens with their position
-  semi-join the vocabulary by lower-cased word and are put back in order per
-  document. A word of every document is a hot key; the join is a plain
-  equi-join, which AQE broadcasts or splits by its runtime sizes.
+- Pruning moves no single token: where no word is too rare, the heavy words (a
+  bounded list) are taken to the documents; else one row for each document and
+  word, with its positions, meets the vocabulary. A word of every document is
+  then a hot key of a plain equi-join, which AQE broadcasts or splits.
 """
 
 from __future__ import annotations
@@ -31,6 +31,13 @@ def pattern_tokens(text, preset: str) -> Column:
     return F.regexp_extract_all(t, F.lit(C.TOKEN_PATTERNS[preset][1]), 0)
 
 
+def is_term(word: Column, preset: str) -> Column:
+    """Whether the preset's pattern finds the whole of a lower-cased word that stands between white space."""
+    if preset == "letters_only":
+        return word.rlike("^[a-zA-Z]{2,}$")
+    return word.rlike(f"^(?:{C.TOKEN_PATTERNS[preset][1]})$")
+
+
 def bigrams(tokens: Column) -> Column:
     """Adjacent token pairs joined by a space. Pattern tokens never contain
     a space, so on the space-joined tokens every pair starts after a space
@@ -59,14 +66,38 @@ def vocabulary(docs: DataFrame, text_col: str = "text", opts: TopicOptions = Top
             .select("corpus", "term", F.col("df").cast("long").alias("df")))
 
 
+def heavy_terms(docs: DataFrame, text_col: str, opts: TopicOptions) -> DataFrame:
+    """(corpus, heavy): the words that more than max_df of a corpus' documents hold, as one array. There are fewer of
+    them than the mean number of distinct words of a document divided by max_df, however large the corpus."""
+    words = docs.select("corpus", F.explode(F.array_distinct(pattern_tokens(text_col, opts.token_pattern))).alias("term"))
+    dfreq = words.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+    return (dfreq.join(corpus_sizes(docs), "corpus").where(F.col("df") > F.lit(opts.max_df) * F.col("n_docs"))
+            .groupBy("corpus").agg(F.collect_list("term").alias("heavy")))
+
+
 def vocabulary_filter(docs: DataFrame, text_col: str = "text", opts: TopicOptions = TopicOptions()) -> DataFrame:
     """Keep whitespace tokens whose lower case is a vocabulary term,
-    order, case and repeats kept. Bigram terms cannot equal a token."""
+    order, case and repeats kept. Bigram terms cannot equal a token.
+
+    With min_df of 1 a token is a term if the pattern matches the whole of it
+    (its own document then holds it) and it is not heavy: tokens stay in their
+    row, only the heavy words travel. With a larger min_df most words may be
+    out: one row for each document and word, with all its positions, meets the
+    vocabulary, and the positions are put back in order."""
+    low = F.lower
+    if opts.min_df <= 1:
+        heavy = heavy_terms(docs, text_col, opts).withColumnRenamed("heavy", "_heavy")
+        with_heavy = docs.join(heavy, "corpus", "left")
+        none = F.array().cast("array<string>")
+        kept = F.filter(T.whitespace_tokens(text_col), lambda t: is_term(low(t), opts.token_pattern)
+                        & ~F.array_contains(F.coalesce(F.col("_heavy"), none), low(t)))
+        return with_heavy.withColumn(text_col, F.coalesce(F.array_join(kept, " "), F.lit(""))).select(*docs.columns)
     vocab = vocabulary(docs, text_col, opts).select("corpus", F.col("term").alias("_low"))
     toks = docs.select("corpus", "doc_id", F.posexplode(T.whitespace_tokens(text_col)).alias("pos", "tok"))
-    kept = toks.withColumn("_low", F.lower("tok")).join(vocab, ["corpus", "_low"], "left_semi")
-    rebuilt = (kept.groupBy("corpus", "doc_id")
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
+    postings = (toks.where(is_term(low("tok"), opts.token_pattern)).groupBy("corpus", "doc_id", low("tok").alias("_low"))
+                .agg(F.collect_list(F.struct("pos", "tok")).alias("_at")))
+    rebuilt = (postings.join(vocab, ["corpus", "_low"], "left_semi").groupBy("corpus", "doc_id")
+               .agg(F.array_sort(F.flatten(F.collect_list("_at"))).alias("_t"))
                .select("corpus", "doc_id", F.array_join(F.col("_t.tok"), " ").alias(text_col)))
     other = [c for c in docs.columns if c not in ("corpus", "doc_id", text_col)]
     base = docs.select("corpus", "doc_id", *other)

@@ -162,3 +162,38 @@ def test_smoothed_f1_half_even(spark):
     tp, pos, pp = 1.0, 3.0, 1.0  # rint(0.5) = 0, rint(0.51) = 1
     prec, rec = tp / (pp + 1e-7), tp / (pos + 1e-7)
     assert abs(r.precision - prec) < 1e-12 and abs(r.recall - rec) < 1e-12
+
+
+def test_vocabulary_filter_paths_agree_with_brute_force(spark):
+    """Both ways of pruning: heavy words taken to the documents, and postings against the vocabulary."""
+    import random
+    import re
+    from collections import Counter
+
+    from lexprep.operators import vocab as V
+    from lexprep.options import TopicOptions
+
+    rng = random.Random(3)
+    words = ["Lei", "lei", "dado", "DADO", "9abc", "a-b", "x", "réu", "ação", "uma1", "só", "zz", "_q", "the"]
+    rows = [(c, i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for c in ("p", "q") for i in range(30)] + [("p", 99, ""), ("q", 98, "único")]
+    docs = spark.createDataFrame([(c, i, t, 1) for c, i, t in rows], "corpus string, doc_id long, text string, n int")
+    for opts in (TopicOptions(min_df=1, max_df=0.4), TopicOptions(min_df=3, max_df=0.4), TopicOptions(min_df=2, max_df=1.0)):
+        got = {(r["corpus"], r["doc_id"]): r["text"] for r in V.vocabulary_filter(docs, "text", opts).collect()}
+        for c in ("p", "q"):
+            own = [(i, t) for k, i, t in rows if k == c]
+            df = Counter(w for _, t in own for w in set(re.findall(r"[a-z]\w*", t.lower())))
+            keep = {w for w, n in df.items() if opts.min_df <= n <= opts.max_df * len(own)}
+            for i, t in own:
+                assert got[c, i] == " ".join(w for w in t.split() if w.lower() in keep)
+
+
+def test_no_exchange_carries_single_positions(spark):
+    from lexprep.operators import vectors as X
+    from lexprep.operators import vocab as V
+
+    docs = spark.createDataFrame([("p", 1, "a b")], "corpus string, doc_id long, text string")
+    plan = V.vocabulary_filter(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan
+    index = spark.createDataFrame([("a", 1)], "token string, idx long")
+    plan = X.padded_sequences(docs, index)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_list(pos" in plan  # positions of a word are one row before they are shuffled
