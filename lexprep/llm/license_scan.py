@@ -20,6 +20,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexprep.llm.arrow import free_name
+from lexprep.llm.tables import quoted
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,7 +64,7 @@ def _strings(values) -> Column:
 
 def document_frequency(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
     """(files, files that hold each word), over all files: one row for each word comes to the driver."""
-    seen = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words(F.col(text_col)), _strings(vocabulary)))).alias("w"))
+    seen = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words(F.col(quoted(text_col))), _strings(vocabulary)))).alias("w"))
     got = {r["w"]: r["count"] for r in seen.groupBy("w").count().collect()}
     return got.get("", 0), got
 
@@ -104,8 +107,9 @@ def scan(docs: DataFrame, name: str = "licence", text_col: str = "text", templat
     must = F.array(*[F.array(*[F.struct(F.lit(_at(text, p)).alias("q"), _strings(p.split()).alias("w")) for p in phrases])
                      for _, text, phrases in templates])
 
-    c = {k: f"{k}_of_scan" for k in ("arr", "hits", "first", "found", "base")}
-    out = docs.withColumn(c["arr"], words(F.col(text_col)))
+    name = free_name(docs, name)
+    c = {k: free_name(docs, f"{k}_of_scan") for k in ("arr", "hits", "agreed", "first", "found", "base")}
+    out = docs.withColumn(c["arr"], words(F.col(quoted(text_col))))
     arr = F.col(c["arr"])
     # every posting of every rare word in the file: (template, where it would begin)
     own = F.filter(F.transform(arr, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(rare_words))
@@ -115,8 +119,10 @@ def scan(docs: DataFrame, name: str = "licence", text_col: str = "text", templat
     out = out.withColumn(c["hits"], F.when(F.arrays_overlap(arr, _strings(rare_words)), F.sort_array(start)).otherwise(F.array().cast(kind)))
     hits = F.col(c["hits"])
     # sorted, so that a beginning named often enough meets itself need - 1 further on
-    agreed = F.filter(hits, lambda x, i: F.get(hits, i + F.get(need, x["t"]) - 1) == x)
-    out = out.withColumn(c["first"], F.array_distinct(agreed))
+    out = out.withColumn(c["agreed"], F.filter(hits, lambda x, i: F.get(hits, i + F.get(need, x["t"]) - 1) == x))
+    agreed = F.col(c["agreed"])
+    # still sorted, so that equal ones stand side by side
+    out = out.withColumn(c["first"], F.filter(agreed, lambda x, i: (i == 0) | (F.get(agreed, F.greatest(i - 1, F.lit(0))) != x)))
     holds = F.filter(F.col(c["first"]), lambda x: F.forall(F.get(must, x["t"]), lambda m: F.when(
         x["o"] + m["q"] >= 0, F.slice(arr, F.greatest(x["o"] + m["q"] + 1, F.lit(1)), F.size(m["w"])) == m["w"]).otherwise(False)))
 
@@ -138,7 +144,7 @@ def scan(docs: DataFrame, name: str = "licence", text_col: str = "text", templat
         F.size(arr).cast("long").alias("n_words"), spots.alias("places"),
         F.array_sort(F.array_distinct(base_labels)).alias("base_labels"),
         F.array_sort(F.array_distinct(F.concat(base_labels, F.transform(found, lambda x: x["label"])))).alias("labels"),
-        found.alias("found"), score.alias("score"))).select(*docs.columns, name)
+        found.alias("found"), score.alias("score"))).drop(*c.values())
 
 
 def _at(text: str, phrase: str) -> int:
