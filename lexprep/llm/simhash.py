@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from lexprep.llm import arrow as A
 from lexprep.llm import components as C
+from lexprep.llm.tables import quoted
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -124,7 +125,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     if max_bits % 2 or 64 % segments:
         raise ValueError("max_bits must be even and segments divide 64")
     C.use_checkpoint_dir(docs.sparkSession)
-    rows = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "f", "text", shingle)
+    rows = with_fingerprint(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "f", "text", shingle)
     rows = rows.select("id", F.xxhash64("text").alias("th"), F.col("f")["bits"].alias("fp")).checkpoint()
     fps = rows.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
     joined = C.components(links(fps.select("fp"), max_bits, segments, bucket_limit))
@@ -142,15 +143,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     order = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("th").alias("th"))
     kept = (groups(docs, id_col, text_col, **options).groupBy("root")
             .agg(F.min(order).alias("o")).select("root", F.col("o")["id"].alias("k_"), F.col("o")["th"].alias("h_")).checkpoint())
+    own_id, own_text = f"d.{quoted(id_col)}", f"d.{quoted(text_col)}"
     d, k = docs.alias("d"), kept.alias("k")
-    mine = d.join(k, (F.col(f"d.{id_col}").eqNullSafe(F.col("k.k_"))) & (F.xxhash64(f"d.{text_col}") == F.col("k.h_")), "left_semi")
+    mine = d.join(k, (F.col(own_id).eqNullSafe(F.col("k.k_"))) & (F.xxhash64(own_text) == F.col("k.h_")), "left_semi")
     # equal rows of the table: one of them stays
-    twins = (docs.select(F.col(id_col).alias("k_"), F.xxhash64(text_col).alias("h_"))
+    twins = (docs.select(F.col(quoted(id_col)).alias("k_"), F.xxhash64(quoted(text_col)).alias("h_"))
              .groupBy("k_", "h_").count().where("count > 1").select("k_", "h_").checkpoint())
     if twins.isEmpty():
-        return mine.select(*[F.col(f"d.{c}") for c in docs.columns])
+        return mine.select(*[F.col(f"d.{quoted(c)}") for c in docs.columns])
     t = twins.alias("t")
-    same = (F.col(f"d.{id_col}").eqNullSafe(F.col("t.k_"))) & (F.xxhash64(f"d.{text_col}") == F.col("t.h_"))
+    same = (F.col(own_id).eqNullSafe(F.col("t.k_"))) & (F.xxhash64(own_text) == F.col("t.h_"))
     single = mine.join(t, same, "left_anti")
     double = mine.join(t, same, "left_semi").dropDuplicates([id_col, text_col])
     return single.unionByName(double)
