@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexprep.llm import arrow as A
+from lexprep.llm.tables import quoted
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -247,25 +248,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, name: str = "contaminat
     """
     name = A.free_name(docs, name)
     parts, n = [], 1
-    key, digest = A.free_name(docs, "row_key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    key, digest = A.free_name(docs, "row_key"), F.sha2(F.coalesce(F.col(quoted(text_col)), F.lit("")), 256)
+    s_, m_ = A.free_name(docs, "spans_of_all"), A.free_name(docs, "matches_of_all")
     for n, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         if n == 1:
             parts.append(find_matches(docs, items, name, text_col, window))
         else:
             # equal texts get equal findings, so those of several passes meet by text; only hits are shuffled
-            part = find_matches(docs.select(digest.alias(key), text_col), items, name, text_col, window)
+            part = find_matches(docs.select(digest.alias(key), quoted(text_col)), items, name, text_col, window)
             parts.append(part.where(F.size(F.col(name)["spans"]) > 0).select(key, name))
     found = reduce(DataFrame.unionByName, parts)
     if n > 1:
-        every = found.groupBy(key).agg(F.flatten(F.collect_set(F.col(name)["spans"])).alias("s_"),
-                                       F.flatten(F.collect_set(F.col(name)["matches"])).alias("m_"))
+        every = found.groupBy(key).agg(F.flatten(F.collect_set(F.col(name)["spans"])).alias(s_),
+                                       F.flatten(F.collect_set(F.col(name)["matches"])).alias(m_))
         plain = find_matches(docs, [], name, text_col, window)
         own = plain.withColumn(key, digest).join(every, key, "left")
         found = own.withColumn(name, F.struct(
             F.col(name)["n_words"].alias("n_words"),
-            merged_spans(F.coalesce(F.col("s_"), F.col(name)["spans"])).alias("spans"),
-            F.array_sort(F.coalesce(F.col("m_"), F.col(name)["matches"])).alias("matches"),
-        )).select(*docs.columns, name)
+            merged_spans(F.coalesce(F.col(s_), F.col(name)["spans"])).alias("spans"),
+            F.array_sort(F.coalesce(F.col(m_), F.col(name)["matches"])).alias("matches"),
+        )).drop(key, s_, m_)
     x = F.col(name)
     n_hit = F.aggregate(x["spans"], F.lit(0).cast("long"), lambda a, s: a + s["to_word"] - s["from_word"])
     found = found.withColumn(name, x.withField("n_hit", n_hit).withField(
@@ -277,4 +279,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, name: str = "contaminat
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
     name = A.free_name(docs, "contamination")
-    return contamination(docs, benchmark, name, **options).where(~F.col(name)["contaminated"]).select(*docs.columns)
+    return contamination(docs, benchmark, name, **options).where(~F.col(name)["contaminated"]).drop(name)
