@@ -22,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexprep.llm.tables import written
+from lexprep.llm.arrow import free_name
+from lexprep.llm.tables import quoted, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -118,20 +119,24 @@ def host_reputation(outcomes: DataFrame, z: float = 1.64) -> DataFrame:
         "host", mean.alias("share"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound")), "reputation")
 
 
-def judged(pages: DataFrame, url_col: str = "url", rules=RULES, threshold: float = 0.5, z: float = 1.64) -> DataFrame:
-    """``pages`` and a struct ``judged``: host, path, rule (or null), share, bound, verdict."""
-    url = F.col(url_col)
-    rows = pages.select(*[F.col(c).alias(f"c_{c}") for c in pages.columns], url_host(url).alias("host"), url_path(url).alias("path"))
+def judged(pages: DataFrame, url_col: str = "url", rules=RULES, threshold: float = 0.5, z: float = 1.64,
+           name: str = "judged") -> DataFrame:
+    """``pages`` and a struct ``name``: host, path, rule (or null), share, bound, verdict. If ``pages`` has a column of
+    that name, underscores are put behind the struct's. Repeated rows count each time; an empty table gives an empty
+    one; ties between rules of one length go to the first."""
+    url, own = F.col(quoted(url_col)), [f"c{k}" for k in range(len(pages.columns))]
+    rows = pages.select(*[F.col(quoted(c)).alias(k) for c, k in zip(pages.columns, own)], url_host(url).alias("host"), url_path(url).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "fixed": verdict})
     bad = F.when(F.col("fixed") == "block", 1).when(F.col("fixed") == "allow", 0)
     known = host_reputation(rows.select("host", bad.alias("bad")), z)
     out = rows.join(known, "host", "left")
     by_host = F.when(F.col("bound") > threshold, "block").otherwise("allow")
-    return out.select(*[F.col(f"c_{c}").alias(c) for c in pages.columns], F.struct(
-        "host", "path", "rule", "share", "bound", F.coalesce("fixed", by_host).alias("verdict")).alias("judged"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(pages.columns, own)], F.struct(
+        "host", "path", "rule", "share", "bound", F.coalesce("fixed", by_host).alias("verdict")).alias(free_name(pages, name)))
 
 
 def keep_allowed(pages: DataFrame, url_col: str = "url", **options) -> DataFrame:
     """The pages that are not blocked, with the columns they came with."""
-    return judged(pages, url_col, **options).where(F.col("judged")["verdict"] == "allow").select(*pages.columns)
+    name = free_name(pages, "judged")
+    return judged(pages, url_col, name=name, **options).where(F.col(name)["verdict"] == "allow").drop(name)
