@@ -45,7 +45,7 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of distinct stretches that are put together into one text for the tokenizers.
 ENCODE_BYTES = 32 << 10
 #: How many such texts are encoded at once.
-WAVE = 16
+WAVE = 8
 SPACE_MARK = "▁"
 MARK_BYTES = SPACE_MARK.encode()
 #: What follows a token id: another of its side, the other side, or the next group.
