@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes
 # (size-checked broadcast, partition coalescing, skew-join splitting).
@@ -48,3 +50,21 @@ def ship_package(spark: SparkSession) -> None:
             z.writestr(f"{top.name}/{f.relative_to(top).as_posix()}", f.read_text(encoding="utf-8"))
     sc.addPyFile(str(path))
     sc._lexprep_shipped = True
+
+
+def interim(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under spark.checkpoint.dir and read again: its lineage is cut, a lost executor costs
+    a read. Where the setting is missing, a session of one machine gets a folder of its own; a cluster must name one
+    that all executors share."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lexprep-checkpoints-")
+        sc.setCheckpointDir(folder)
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
