@@ -13,7 +13,7 @@ time of the fit, by document and by bucket, so that they are not shuffled again;
 documents is cut into parts. The step is the best of ``STEPS`` by the loss, all tried in one pass.
 
 Rows of one id are one document. Null texts count as empty; an empty text has its end as its only gram. Rows without a
-label are left out of training. Buckets not met in training count nothing. Equal scores go to the smaller label. An
+label or an id are left out of training. Buckets not met in training count nothing. Equal scores go to the smaller label. An
 empty training table is an error, one of a single class gives that class. Other columns are kept by ``scored``, which
 replaces one of the name of its result.
 """
@@ -105,8 +105,8 @@ class _Grams:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.by_doc = rows.repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
         # fewer than rows / PART_ROWS buckets; broadcast or not by their size at run time
-        self.heavy = (self.by_doc.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS)
-                      .select("bucket", F.ceil(F.col("n") / PART_ROWS).alias("parts")))
+        heavy = self.by_doc.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS)
+        self.heavy = interim(heavy.select("bucket", F.ceil(F.col("n") / PART_ROWS).alias("parts")).coalesce(1), "ngram_heavy")
         placed = self.by_doc.join(self.heavy, "bucket", "left").withColumn(
             "part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0))).drop("parts")
         self.by_bucket = placed.repartition(parts, "bucket", "part").persist(StorageLevel.MEMORY_AND_DISK)
@@ -165,7 +165,7 @@ def fit(train: DataFrame, id_col: str = "id", text_col: str = "text", label_col:
         settings: Settings = Settings()) -> NgramModel:
     """Train on the labelled rows. Vectors and the state of each round are interim tables (see ``interim``)."""
     s, dim = settings, settings.dim
-    rows = train.where(F.col(label_col).isNotNull())
+    rows = train.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     shares = (rows.groupBy(F.col(id_col)).agg(F.min(label_col).alias("y")).groupBy("y").count().orderBy("y").collect())  # classes
     if not shares:
         raise ValueError("no labelled rows")
@@ -189,18 +189,19 @@ def fit(train: DataFrame, id_col: str = "id", text_col: str = "text", label_col:
         scored = scored.withColumn("total", _log_total(score)).withColumns(errors)
         scored = scored.withColumns({f"g{j}": _dot(head[:, j], [F.col(f"e{i}") for i in range(k)]) for j in range(dim)})
         scored = scored.withColumn("loss", (F.col("total") - _picked(score, F.col("y"))) / n)
+        scored = interim(scored.drop(*[f"s{i}" for i in range(k)], "total"), "ngram_gradients")
         image = kept.to_docs(kept.to_buckets(scored.select("id", *_names("g", dim)), "g"), "g")
         image = image.select("id", *[F.col(c).alias(f"r{j}") for j, c in enumerate(_names("g", dim))])
-        at = interim(scored.drop(*[f"s{i}" for i in range(k)], "total").join(image, "id"), "ngram_round")
-        slope = sum((g * r for g, r in zip(cols("g"), cols("r"))), zero)
-        square = lambda p: F.sum(sum((x * x for x in cols(p)), zero))
-        got = at.agg(F.sum("loss"), F.sum(slope), square("g"), square("h"), *[F.sum(F.col(f"e{i}") * h) for i in range(k) for h in cols("h")]).first()
+        at = interim(scored.join(image, "id"), "ngram_round")
+        product = lambda a, b: F.sum(sum((x * y for x, y in zip(cols(a), cols(b))), zero))
+        got = at.agg(F.sum("loss"), product("g", "r"), product("g", "g"), product("h", "h"),
+                     product("r", "r"), product("r", "dh"), product("dh", "dh"), *[F.sum(F.col(f"e{i}") * h) for i in range(k) for h in cols("h")]).first()
         losses.append(got[0])
         if norm is not None and len(losses) > 1 and losses[-2] - losses[-1] < s.tolerance:
             break
         # the class matrix moves at the pace of the vectors: curvature along the gradients, over that of its own block
         pace = got[1] / got[2] / got[3] if got[2] and got[3] else 0.0
-        slant = np.array(got[4:]).reshape(k, dim)
+        slant = np.array(got[7:]).reshape(k, dim)
         now = got[1] + pace * float((slant ** 2).sum())
         beta = now / norm if norm else 0.0
         norm = now
@@ -210,7 +211,7 @@ def fit(train: DataFrame, id_col: str = "id", text_col: str = "text", label_col:
             moved |= {c: F.lit(beta) * F.col(c) - F.col(f"{back}{j}") for j, c in enumerate(_names(d, dim))}
         at = at.withColumns(moved).drop("loss", *[f"e{i}" for i in range(k)], *_names("g", dim), *_names("r", dim))
         # the step: all candidates in one pass
-        length = at.agg(F.sqrt(F.avg(sum((x * x for x in cols("dh")), zero)))).first()[0]
+        length = math.sqrt(max(got[4] - 2 * beta * got[5] + beta * beta * got[6], 0.0) / n)  # of dh now, -r + beta dh before
         if not length:
             break
         steps = [m / length for m in STEPS]
