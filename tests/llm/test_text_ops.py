@@ -255,13 +255,58 @@ def test_cut_repeats_keeps_columns_and_clean_texts(spark):
 
 # -- language model -------------------------------------------------------------------------------------------
 
-def test_brown_scores(spark, odd_rows):
+def brute_brown(rows, held, core, size, classes, prior):
+    """log10 probability of each text, word by word, from the classes of the clustered words: {word: class}."""
+    unseen, end = classes, classes + 1
+    c = Counter(t for i, x in rows if not held(i) for t in spaced(x))
+    train = [spaced(x) for i, x in rows if not held(i)]
+    seen = {}  # of each word: Counter of (side, class beside it)
+    for ws in train:
+        marks = [end, *(core.get(w, unseen) for w in ws), end]
+        for k, w in enumerate(ws):
+            seen.setdefault(w, Counter()).update([(0, marks[k]), (1, marks[k + 2])])
+    of = {k: sum((seen[w] for w in core if core[w] == k), Counter()) for k in set(core.values())}
+    part = {k: sum(size[w] for w in core if core[w] == k) / sum(size.values()) for k in of}
+
+    def fit(w, k):
+        total = [sum(n for (s, _), n in of[k].items() if s == side) + 0.5 * (classes + 2) for side in (0, 1)]
+        return math.log(part[k]) + sum(n * math.log((of[k][x] + 0.5) / total[x[0]]) for x, n in seen[w].items())
+
+    cls = {w: core[w] if w in core else max(sorted(of), key=lambda k: round(fit(w, k), 9)) for w in c}
+    g, own = Counter(), Counter(cls[t] for ws in train for t in ws)
+    for ws in train:
+        prev, prev_once = end, False
+        for w in [*ws, None]:
+            k, once = (end, False) if w is None else (cls[w], c[w] == 1)
+            g[prev, k] += 1
+            g[prev, unseen] += once
+            g[unseen, k] += prev_once
+            g[unseen, unseen] += once and prev_once
+            prev, prev_once = k, once
+    used = [k for k in range(classes + 2) if k >= classes or own[k]]
+    share = {k: sum(g[a, k] for a in range(classes + 2)) + 1 for k in used}
+    share = {k: x / sum(share.values()) for k, x in share.items()}
+    out = []
+    for i, x in rows:
+        total, prev = 0.0, end
+        for w in [*spaced(x), None]:
+            k = end if w is None else cls.get(w, unseen)
+            total += math.log10((g[prev, k] + prior * share[k]) / (sum(g[prev, b] for b in range(classes + 2)) + prior))
+            total += 0 if w is None else math.log10(c[w] / own[k]) if w in c else -math.log10(len(c) + 1)
+            prev = k
+        out.append((repr(i), total))
+    return sorted(out), cls
+
+
+@pytest.mark.parametrize("lookup", [120, 1 << 18])
+def test_brown_scores(spark, odd_rows, lookup):
+    """Base and model score of each text against plain Python; the size of the lookup changes nothing."""
     rng = random.Random(23)
     rows = odd_rows + [(200 + k, prose(rng, 120)) for k in range(60)]
-    small = brown_lm.Settings(lookup=120, classed=60, clustered=30, contexts=8, classes=6)
+    rows += [(300, " ".join(f"tail{k} und" for k in range(90))), (301, "tail3 tail4 never und"), (301, "tail3 tail4 never und")]
+    small = brown_lm.Settings(lookup=lookup, clustered=30, classes=6)
     docs = table(spark, rows)
     model, got = brown_lm.perplexity(docs, ~brown_lm.held_out(), settings=small)
-    out = {i: True for i, _ in rows}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(t for i, x in rows if not held(i) for t in [*spaced(x), None])
     n, v = sum(c.values()), len(c)
@@ -269,14 +314,27 @@ def test_brown_scores(spark, odd_rows):
                    round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in [*spaced(x), None]), 6)) for i, x in rows)
     have = got.collect()
     assert sorted((repr(r["id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in have) == want
-    assert model.n == n and model.v == v and all(r["score"] < 0 for r in have) and out
-    # a distribution: what each class emits, and where each class leads, sums to one
+    assert model.n == n and model.v == v
+    # the clustered words by their hashes, all others by rule
+    import numpy as np
+    import pyarrow as pa
+
+    names = sorted(t for t in c if t is not None)
+    h = np.concatenate([h for _, _, h, _ in brown_lm.tokens(pa.array(names))])
+    core = model.lexicon.top.first(model.lexicon.core)
+    clustered = {w: int(model.lexicon.cls[k]) for w, k in zip(names, core.find(h)) if k < model.lexicon.core}
+    assert 0 < len(clustered) <= 30 and min(c[w] for w in clustered) >= max(c[w] for w in names if w not in clustered)
+    brute, cls = brute_brown(rows, held, clustered, {w: c[w] for w in clustered}, 6, small.prior)
+    table_of = {r["h"]: (r["cls"], r["c"]) for r in model.lexicon.words.collect()}
+    assert table_of == {int(k): (cls[w], c[w]) for w, k in zip(names, h.view(np.int64)) if w not in clustered}
+    scores = sorted((repr(r["id"]), r["score"]) for r in have)
+    assert all(i == j and math.isclose(x, y, rel_tol=1e-9) for (i, x), (j, y) in zip(scores, brute, strict=True))
+    # a distribution: where each class leads sums to one, and so does what each class emits
     assert abs((10.0 ** model.step).sum(axis=1) - 1).max() < 1e-9
-    other, listed = small.classes, model.cls == small.classes
-    rest = sum(c[t] + 1 for t in c if t is not None) - sum(model.top.count[~listed] + 1)
-    assert abs((rest + 1) / 10 ** model.tail - 1) < 1e-9 and other == 6
-    for k in set(model.cls[~listed]):
-        assert abs((10.0 ** model.emit[model.cls == k]).sum() - 1) < 1e-9
+    own = Counter()
+    for w in names:
+        own[cls[w]] += c[w]
+    assert all(abs(own[k] / 10 ** model.own[k] - 1) < 1e-9 for k in own)
 
 
 def test_brown_without_training_rows(spark):
