@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexprep import constants as C
 from lexprep.functions import text as T
-from lexprep.operators.ranking import global_row_number, range_bucket
+from lexprep.operators.ranking import global_row_number, range_buckets
 
 TFIDF_PATTERN = C.TOKEN_PATTERNS["word2"][1]
 
@@ -121,8 +121,9 @@ def token_index(train: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # first appearance as one number of fixed width, so that tokens are counted by hash, without a sort
     at = F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos")
     agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(at.cast("decimal(32,0)")).alias("first"))
-    agg = agg.withColumn("_doc", (F.col("first") / F.lit(1 << 32)).cast("long"))
-    ranked = global_row_number(agg, [F.desc("n"), F.asc("first")], [-F.col("n"), range_bucket(agg, "_doc")], "idx")
+    agg = agg.withColumn("_doc", F.floor(F.col("first") / F.lit(1 << 32)).cast("long"))
+    first_doc = range_buckets(train.select(F.col(id_col).cast("long").alias("_doc")), "_doc")
+    ranked = global_row_number(agg, [F.desc("n"), F.asc("first")], [-F.col("n"), *first_doc], "idx")
     return ranked.select("token", "idx", F.col("n").cast("long").alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexprep.operators import metrics as M
 from lexprep.operators import split as S
-from lexprep.operators.ranking import range_bucket
+from lexprep.operators.ranking import range_buckets
 from lexprep.plans import oracle as O
 from lexprep.plans.catalog import register
 from lexprep.plans.q_text import labelled_clean
@@ -146,7 +146,7 @@ FROM ({_smoothed_sql("(SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 24
 def batch_f1(spark, sf):
     """Batch-wise average over batches of 24 in document order."""
     p = X.predictions(spark, sf)
-    r = M.batch_f1(p, [F.col("doc_id").asc()], [range_bucket(p, "doc_id")], batch_size=24)
+    r = M.batch_f1(p, [F.col("doc_id").asc()], range_buckets(p, "doc_id"), batch_size=24)
     return r.select(F.col("n_batches").cast("long").alias("n_batches"), *_r(["precision", "recall", "f1"]))
 
 

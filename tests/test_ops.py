@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from lexprep.operators import labels as L
 from lexprep.operators import metrics as M
 from lexprep.operators import split as S
 from lexprep.operators import vocab as V
-from lexprep.operators.ranking import global_row_number
+from lexprep.operators.ranking import global_row_number, range_buckets, rank_within
 from lexprep.options import TopicOptions
 
 
@@ -27,6 +28,28 @@ def test_global_row_number_equals_window(spark):
     assert got.count() == 3000
 
 
+@pytest.mark.parametrize("ids", [
+    [*range(3000), 1 << 62],  # one far above
+    [-(1 << 62), *range(3000)],  # one far below
+    [*range(2000), *((1 << 45) + k for k in range(2000))],  # a crowd at either end
+    [*range(0, 300000, 100)], [-(1 << 63), (1 << 63) - 1], [7], [None, 5, 6], []])
+def test_ranks_of_crowded_ids(spark, ids):
+    """All ids but one in one slice of the range: buckets stay small, and ranks equal those of a window."""
+    df = spark.createDataFrame([(i, f"l{k % 3}") for k, i in enumerate(ids)], "id long, label string")
+    coarse = range_buckets(df, "id")
+    got = global_row_number(df, [F.col("id").asc()], coarse, "rn").collect()
+    want = sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert sorted((r["rn"], r["id"]) for r in got) == list(enumerate(want, 1))
+    largest = max((r["count"] for r in df.groupBy(*coarse).count().collect()), default=0)
+    assert largest <= max(len(ids) / 256, 1)
+    per = rank_within(df, "label", [F.col("id").asc()], coarse, "rank", "size").collect()
+    of = {}
+    for i, k in sorted(((i, f"l{k % 3}") for k, i in enumerate(ids)), key=lambda r: (r[0] is not None, r[0] or 0)):
+        of.setdefault(k, []).append(i)
+    assert sorted((r["label"], r["rank"], r["id"], r["size"]) for r in per) == sorted(
+        (k, n, i, len(x)) for k, x in of.items() for n, i in enumerate(x, 1))
+
+
 def test_latest_grades_keeps_last_and_groups_nulls(spark):
     rows = [(1, "u1", "g0"), (2, "u1", None), (3, None, "g1"), (4, None, "g2"), (5, "u2", "g3")]
     df = spark.createDataFrame(rows, "resp_id long, url string, grade string")
