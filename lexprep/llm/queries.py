@@ -147,8 +147,11 @@ f AS (SELECT *, CASE
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
 o AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS bad FROM f),
-h AS (SELECT host, regexp_extract(host, '([^.]*\\.?[^.:]*)(?::[0-9]*)?$', 1) AS domain,
-    regexp_extract(host, '([^.:]*)(?::[0-9]*)?$', 1) AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM o GROUP BY host),
+b AS (SELECT *, regexp_replace(host, '{U._PORT}', '') AS bare FROM o),
+h AS (SELECT host, CASE WHEN regexp_matches(bare, '{U._NUMERIC}') OR regexp_extract(bare, '{U._DOMAIN}', 1) = '' THEN bare
+      ELSE regexp_extract(bare, '{U._DOMAIN}', 1) END AS domain,
+    CASE WHEN regexp_matches(bare, '{U._NUMERIC}') THEN bare ELSE regexp_extract(bare, '{U._SUFFIX}', 1) END AS suffix,
+    count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM b GROUP BY host, bare),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix, domain),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
 g AS (SELECT CASE WHEN coalesce(sum(n), 0) = 0 THEN 0.5 ELSE (sum(bad) + 0.5) / (sum(n) + 1.0) END AS share FROM s),

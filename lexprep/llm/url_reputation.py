@@ -67,13 +67,28 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
+#: labels under which a top-level domain of two letters registers names (``co.uk``, ``com.br``): a short list, not the
+#: public one, which is longer and changes
+GENERIC = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ne", "net", "or", "org")
+_PORT = r":[0-9]*\z"
+_NUMERIC = r"\A(?:[0-9.]+|\[.*)\z"
+_TOP = rf"(?:(?:{'|'.join(GENERIC)})\.[a-z][a-z]|[^.]*)"
+_SUFFIX = rf"(?:\A|\.)({_TOP})\z"
+_DOMAIN = rf"(?:\A|\.)([^.]*\.{_TOP})\z"
+
+
 def registered_domain(host: Column) -> Column:
-    """The last two labels (a host of one label is its own domain); a port does not count."""
-    return F.regexp_extract(host, r"([^.]*\.?[^.:]*)(?::[0-9]*)?$", 1)
+    """The label before the suffix, and the suffix. A host of one label, one that is a suffix and a numeric one is its
+    own domain; a port does not count."""
+    bare = F.regexp_replace(host, _PORT, "")
+    found = F.regexp_extract(bare, _DOMAIN, 1)
+    return F.when(bare.rlike(_NUMERIC) | (found == ""), bare).otherwise(found)
 
 
 def suffix(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.:]*)(?::[0-9]*)?$", 1)
+    """The last label, or two where the last has two letters and the one before is of ``GENERIC``; a numeric host whole."""
+    bare = F.regexp_replace(host, _PORT, "")
+    return F.when(bare.rlike(_NUMERIC), bare).otherwise(F.regexp_extract(bare, _SUFFIX, 1))
 
 
 def strength(groups: DataFrame, default: float = 2.0) -> tuple[float, float]:

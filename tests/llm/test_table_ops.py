@@ -62,6 +62,24 @@ def test_rules_and_parts_of_odd_urls(spark):
     assert url_reputation.keep_allowed(pages).columns == pages.columns
 
 
+def test_registered_domains(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk:80": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+            "www.abco.uk": ("abco.uk", "uk"), "x.com.br": ("x.com.br", "com.br"), "a.example.com": ("example.com", "com"),
+            "t.co": ("t.co", "co"), "co.com": ("co.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""),
+            "1.2.3.4:8080": ("1.2.3.4", "1.2.3.4"), "[::1]": ("[::1]", "[::1]"), "a.": ("a.", ""), "x.y\n": ("x.y\n", "y\n")}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    host = F.col("host")
+    got = df.select(host, url_reputation.registered_domain(host).alias("d"), url_reputation.suffix(host).alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in got} == want
+
+
+def test_sites_under_a_suffix_of_two_labels_are_strangers(spark):
+    rows = [(f"h{k}.bad.co.uk", 1) for k in range(40)] + [(f"h{k}.good.co.uk", 0) for k in range(40)]
+    rows += [("new.bad.co.uk", None), ("new.good.co.uk", None)]
+    got = {r["host"]: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert got["new.bad.co.uk"]["share"] > 0.6 > 0.4 > got["new.good.co.uk"]["share"]
+
+
 def test_shrinkage_follows_domain_and_evidence(spark):
     rows = [("a.bad.x", 1)] * 40 + [("b.bad.x", None)] + [("a.good.x", 0)] * 40 + [("b.good.x", None)] + [("new.y", None)]
     rows += [("c.bad.x", 0)] * 30 + [(f"h{k}.bad.x", 1) for k in range(30)] + [(f"h{k}.good.x", 0) for k in range(30)]
