@@ -20,6 +20,9 @@ from lexprep.functions import text as T
 from lexprep.operators import cleaning as K
 from lexprep.options import TopicOptions
 
+#: Hash buckets of a corpus' heavy words: some thousand words at most, so a few in each.
+HEAVY_BUCKETS = 256
+
 
 def pattern_tokens(text, preset: str) -> Column:
     """Tokens found by a token pattern preset (lowercased text)."""
@@ -50,16 +53,18 @@ def corpus_sizes(docs: DataFrame) -> DataFrame:
     return docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def document_frequency(docs: DataFrame, text_col: str, preset: str) -> DataFrame:
-    """(corpus, term, df) of unigrams and bigrams, before pruning."""
+def document_frequency(docs: DataFrame, text_col: str, preset: str, with_bigrams: bool = True) -> DataFrame:
+    """(corpus, term, df) of unigrams and bigrams, before pruning; or of unigrams alone."""
     toks = pattern_tokens(text_col, preset)
-    terms = docs.select("corpus", F.explode(F.array_distinct(F.concat(toks, bigrams(toks)))).alias("term"))
+    every = F.concat(toks, bigrams(toks)) if with_bigrams else toks
+    terms = docs.select("corpus", F.explode(F.array_distinct(every)).alias("term"))
     return terms.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", opts: TopicOptions = TopicOptions()) -> DataFrame:
+def vocabulary(docs: DataFrame, text_col: str = "text", opts: TopicOptions = TopicOptions(),
+               with_bigrams: bool = True) -> DataFrame:
     """A4/A5: (corpus, term, df) with min_df <= df <= max_df * N per corpus."""
-    dfreq = document_frequency(docs, text_col, opts.token_pattern)
+    dfreq = document_frequency(docs, text_col, opts.token_pattern, with_bigrams)
     sizes = corpus_sizes(docs)  # one row per corpus
     return (dfreq.join(sizes, "corpus")
             .where((F.col("df") >= opts.min_df) & (F.col("df") <= F.lit(opts.max_df) * F.col("n_docs")))
@@ -69,12 +74,26 @@ def vocabulary(docs: DataFrame, text_col: str = "text", opts: TopicOptions = Top
 def heavy_terms(docs: DataFrame, text_col: str, opts: TopicOptions) -> DataFrame:
     """(corpus, heavy): the words that more than max_df of a corpus' documents hold, as one array. There are fewer of
     them than the mean number of distinct words of a document divided by max_df, however large the corpus."""
-    words = docs.select("corpus", F.explode(F.array_distinct(pattern_tokens(text_col, opts.token_pattern))).alias("term"))
-    dfreq = words.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = document_frequency(docs, text_col, opts.token_pattern, with_bigrams=False)
     return (dfreq.join(corpus_sizes(docs), "corpus").where(F.col("df") > F.lit(opts.max_df) * F.col("n_docs"))
             .groupBy("corpus").agg(F.collect_list("term").alias("heavy")))
 
 
+def bucket(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(HEAVY_BUCKETS))
+
+
+def heavy_buckets(heavy: DataFrame) -> DataFrame:
+    """(corpus, buckets): the heavy words as ``HEAVY_BUCKETS`` short arrays, each word in that of its hash. A token is
+    looked up in one of them: the time for it does not depend on how many words are heavy."""
+    kept = heavy.select("corpus", F.explode("heavy").alias("word")).withColumn("at", bucket(F.col("word")))
+    parts = kept.groupBy("corpus", "at").agg(F.collect_list("word").alias("words"))
+    held = parts.groupBy("corpus").agg(F.map_from_entries(F.collect_list(F.struct("at", "words"))).alias("held"))
+    none = F.array().cast("array<string>")
+    return held.select("corpus", F.transform(F.sequence(F.lit(0), F.lit(HEAVY_BUCKETS - 1)),
+                                             lambda i: F.coalesce(F.col("held")[i], none)).alias("buckets"))
+
+
 def vocabulary_filter(docs: DataFrame, text_col: str = "text", opts: TopicOptions = TopicOptions()) -> DataFrame:
     """Keep whitespace tokens whose lower case is a vocabulary term,
     order, case and repeats kept. Bigram terms cannot equal a token.
@@ -86,13 +105,17 @@ def vocabulary_filter(docs: DataFrame, text_col: str = "text", opts: TopicOption
     vocabulary, and the positions are put back in order."""
     low = F.lower
     if opts.min_df <= 1:
-        heavy = heavy_terms(docs, text_col, opts).withColumnRenamed("heavy", "_heavy")
+        heavy = heavy_buckets(heavy_terms(docs, text_col, opts)).withColumnRenamed("buckets", "_heavy")
         with_heavy = docs.join(heavy, "corpus", "left")
-        none = F.array().cast("array<string>")
-        kept = F.filter(T.whitespace_tokens(text_col), lambda t: is_term(low(t), opts.token_pattern)
-                        & ~F.array_contains(F.coalesce(F.col("_heavy"), none), low(t)))
+
+        def is_heavy(word: Column) -> Column:
+            return F.coalesce(F.array_contains(F.get(F.col("_heavy"), bucket(word)), word), F.lit(False))
+
+        kept = F.filter(F.split(F.col(text_col), C.WS_RUN, -1), lambda t: (t != F.lit(""))
+                        & is_term(low(t), opts.token_pattern) & ~is_heavy(low(t)))
         return with_heavy.withColumn(text_col, F.coalesce(F.array_join(kept, " "), F.lit(""))).select(*docs.columns)
-    vocab = vocabulary(docs, text_col, opts).select("corpus", F.col("term").alias("_low"))
+    # a token never equals a bigram, so only single words are counted here
+    vocab = vocabulary(docs, text_col, opts, with_bigrams=False).select("corpus", F.col("term").alias("_low"))
     toks = docs.select("corpus", "doc_id", F.posexplode(T.whitespace_tokens(text_col)).alias("pos", "tok"))
     postings = (toks.where(is_term(low("tok"), opts.token_pattern)).groupBy("corpus", "doc_id", low("tok").alias("_low"))
                 .agg(F.collect_list(F.struct("pos", "tok")).alias("_at")))

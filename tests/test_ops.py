@@ -220,3 +220,27 @@ def test_no_exchange_carries_single_positions(spark):
     index = spark.createDataFrame([("a", 1)], "token string, idx long")
     plan = X.padded_sequences(docs, index)._jdf.queryExecution().executedPlan().toString()
     assert "partial_collect_list(pos" in plan  # positions of a word are one row before they are shuffled
+
+
+def test_a_token_is_looked_up_in_one_short_bucket_of_heavy_words(spark):
+    from lexprep.operators import vocab as V
+
+    words = [f"w{i}" for i in range(3000)]
+    rows = [("p", i, " ".join(words + [f"own{i}"])) for i in range(4)]
+    docs = spark.createDataFrame(rows, "corpus string, doc_id long, text string")
+    heavy = V.heavy_terms(docs, "text", TopicOptions(min_df=1, max_df=0.5, token_pattern="letter_word"))
+    buckets = V.heavy_buckets(heavy).first()["buckets"]
+    assert len(buckets) == V.HEAVY_BUCKETS and sorted(w for b in buckets for w in b) == sorted(words)
+    assert max(map(len, buckets)) < 50
+    kept = V.vocabulary_filter(docs, "text", TopicOptions(min_df=1, max_df=0.5, token_pattern="letter_word"))
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {i: f"own{i}" for i in range(4)}
+
+
+def test_pruning_of_tokens_counts_no_bigrams(spark):
+    from lexprep.operators import vocab as V
+
+    docs = spark.createDataFrame([("p", 1, "a b")], "corpus string, doc_id long, text string")
+    pair = "(?<![^ ])"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert pair in plan(V.vocabulary(docs, "text", TopicOptions(min_df=2, max_df=0.5, token_pattern="letter_word")))
+    assert pair not in plan(V.vocabulary_filter(docs, "text", TopicOptions(min_df=2, max_df=0.5, token_pattern="letter_word")))
