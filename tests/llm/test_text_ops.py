@@ -406,3 +406,23 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert out[1]["score"] == out[2]["score"] == 0 and out[None]["score"] > 0.3 and out[4]["offending"][0]["sentence"] == 1
     assert toxicity.remove_toxic(docs.limit(0), labels).columns == docs.columns
     assert toxicity.with_score(docs, toxicity.fit(docs, labels.limit(0)), "r").count() == len(rows)
+
+
+def test_quality_scores_little_text_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lexprep.llm import arrow as A
+
+    col = pa.array(["palavra outra coisa " * 100] * 4000)
+    data, offsets = A.text_buffer(col)
+    model = quality.Model(np.linspace(-1, 1, 1 << 18).astype(np.float32), 0.1, quality.Settings())
+    tracemalloc.start()
+    got = quality.score_texts(data, offsets, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # 233 MB in chunks of 4 MB
+    alone = quality.score_texts(data[:offsets[1]], offsets[:2], model)
+    assert np.allclose(got, alone[0], rtol=0, atol=1e-12)
