@@ -23,6 +23,7 @@ a B id are all best. An empty table gives empty results. Other columns of the do
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
@@ -284,6 +285,14 @@ def _blocks(batch: pa.RecordBatch, column: int):
         yield i, j, data[int(offsets[i]):int(offsets[j])], offsets[i:j + 1] - offsets[i]
 
 
+def release() -> None:
+    """Hand memory that encoding has freed back to the system: the worker stays for the stages after it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 GROUPS = T.StructType([T.StructField("groups", T.StringType()), T.StructField("ends", T.ArrayType(T.LongType()))])
 
 
@@ -359,6 +368,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files
                      raw(got.bounds, np.int64), raw(link_pair, np.int32), one(distinct, pa.list_(pa.int64())),
                      one(n, pa.list_(pa.int64()))], names=names)
                 k += 1
+                del x, got, times, per, distinct, link_pair, n, digest, numbers
+            release()
 
     texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     blocks = written(A.map_arrow(texts, run, schema), "blocks")
@@ -377,13 +388,15 @@ SCORED = ("n_best", "count_sum")
 def document_counts(found: Alignment) -> DataFrame:
     """Per document: id, tokens of A and B, groups, links, links that are best for their B id, the sum over links of
     their pair's count in the corpus, and the SHA-256 of the groups ('' without tokens)."""
+    # a row holds a whole block: as many tasks as blocks, so that a task and an Arrow batch have few of them
+    n_blocks = max(1, found.blocks.count())
     at = found.blocks.select("block", F.posexplode("pairs").alias("at", "pair"))
-    back = (at.join(found.pairs.select("pair", "n", "best"), "pair")
+    back = (at.join(found.pairs.select("pair", "n", "best"), "pair").repartition(n_blocks, "block")
             .groupBy("block").agg(F.collect_list(F.struct("at", "n", "best")).alias("known")))
     kind = found.blocks.schema["ids"].dataType.elementType
     out = T.StructType([T.StructField("id", kind), *[T.StructField(x, T.LongType()) for x in PER_DOC + SCORED],
                         T.StructField("digest", T.StringType())])
-    rows = found.blocks.drop("pairs", "pair_n").join(back, "block", "left")
+    rows = found.blocks.drop("pairs", "pair_n").repartition(n_blocks, "block").join(back, "block", "left")
     names = rows.columns
 
     def run(batches):

@@ -123,3 +123,13 @@ def test_registered_query_equals_brute_force(spark, pair):
     assert got.dtypes == [("doc_id", "bigint"), ("n_a", "bigint"), ("n_b", "bigint"), ("n_groups", "bigint"), ("n_links", "bigint"),
                           ("n_best", "bigint"), ("count_sum", "bigint"), ("groups_sha256", "string")]
     assert sorted(map(tuple, got.collect())) == sorted(expected(pair, rows))
+
+
+def test_blocks_are_dealt_over_as_many_tasks(spark):
+    """A task that puts the counts back holds few blocks, however many there are."""
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(60)], "doc_id long, text string").repartition(12)
+    found = K.align(docs)
+    n = found.blocks.count()
+    counts = K.document_counts(found)
+    assert n >= 12 and counts.rdd.getNumPartitions() == n
+    assert counts.count() == 60
