@@ -9,17 +9,16 @@ Scale notes
   and the per-term side holds one row for it. The L2 norm is a window per
   document (bounded by the document's distinct terms). N is a scalar
   subquery; nothing is collected.
-- Pooled embeddings: one (document, word, count) aggregate joins the
-  word-vector table, so a word meets its vector once per document; counts
-  weigh the ML ``Summarizer`` sum, which combines on the map side.
+- Pooled embeddings: the (document, word, count) rows are dealt into groups
+  of documents and every group gets the word vectors: a vector travels once
+  for each group, not for each document, and a document is summed where its
+  counts are, a few numbers of the vector in each row of the aggregate.
 - The token index ranks the aggregated token table with the distributed
   global rank (no single-partition window).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +27,8 @@ from lexprep.functions import text as T
 from lexprep.operators.ranking import global_row_number, range_buckets
 
 TFIDF_PATTERN = C.TOKEN_PATTERNS["word2"][1]
+#: Groups of documents that get the word vectors, and numbers of a vector summed in one row.
+POOL_GROUPS, POOL_WIDTH = 96, 16
 
 
 def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_df: float = 0.75, min_df: int = 1,
@@ -85,12 +86,26 @@ def pooled_embeddings(docs: DataFrame, word_vectors: DataFrame, id_col: str = "d
     dim = word_vectors.select(F.max(F.size(vec_col))).scalar()
     words = docs.select(id_col, F.explode(T.single_space_split(text_col)).alias(word_col))
     tf = words.groupBy(id_col, word_col).agg(F.count(F.lit(1)).alias("_tf"))
-    lookup = word_vectors.select(word_col, array_to_vector(vec_col).alias("_v"))
-    sums = tf.join(lookup, word_col).groupBy(id_col).agg(Summarizer.sum(F.col("_v"), F.col("_tf")).alias("_s"))
-    n = tf.groupBy(id_col).agg(F.sum("_tf").alias("_n"))
-    total = n.join(sums, id_col, "left").select(
-        id_col, "_n", F.coalesce(vector_to_array("_s"), F.array_repeat(F.lit(0.0), dim.cast("int"))).alias("_t"))
-    return total.select(id_col, F.transform("_t", lambda x: x / F.col("_n")).alias("embedding"))
+    group = F.pmod(F.hash(id_col), F.lit(POOL_GROUPS))
+    last = F.floor((F.size(vec_col) - 1) / POOL_WIDTH).cast("int")
+    pieces = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(
+        k.alias("k"), F.slice(vec_col, k * POOL_WIDTH + 1, POOL_WIDTH).alias("x")))).cast("array<struct<k:int,x:array<double>>>")
+    lookup = word_vectors.select(F.explode(F.sequence(F.lit(0), F.lit(POOL_GROUPS - 1))).alias("_g"), word_col, pieces.alias("_v"))
+    # the vectors of a group's words stand before its documents' counts, so that each count finds them in its own task
+    met = (tf.select(group.alias("_g"), word_col, id_col, "_tf").unionByName(lookup, allowMissingColumns=True)
+           .repartition(POOL_GROUPS, "_g"))
+    before = Window.partitionBy("_g", word_col).orderBy(F.col("_tf").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    own = met.withColumn("_v", F.flatten(F.collect_list("_v").over(before))).where(F.col("_tf").isNotNull())
+    # piece -1 is the number of words, known or not
+    one = F.array(F.struct(F.lit(-1).alias("k"), F.array(F.lit(1.0)).alias("x")))
+    each = own.select("_g", id_col, "_tf", F.explode(F.concat(one, "_v")).alias("_p"))
+    sums = each.groupBy("_g", id_col, F.col("_p.k").alias("_k")).agg(
+        F.array(*[F.sum(F.col("_tf") * F.get(F.col("_p.x"), F.lit(i))) for i in range(POOL_WIDTH)]).alias("_s"))
+    total = sums.groupBy("_g", id_col).agg(F.array_sort(F.collect_list(F.struct("_k", "_s"))).alias("_t"))
+    dim = dim.cast("int")
+    padded = F.concat(F.flatten(F.col("_t._s")), F.array_repeat(F.lit(0.0), dim))
+    means = total.select(id_col, F.get(F.col("_t")[0]["_s"], F.lit(0)).alias("_n"), F.slice(padded, POOL_WIDTH + 1, dim).alias("_t"))
+    return means.select(id_col, F.transform("_t", lambda x: F.coalesce(x, F.lit(0.0)) / F.col("_n")).alias("embedding"))
 
 
 def ranked_word_vectors(docs: DataFrame, embeddings: DataFrame, text_col: str = "text") -> DataFrame:
