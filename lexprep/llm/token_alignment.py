@@ -23,7 +23,6 @@ a B id are all best. An empty table gives empty results. Other columns of the do
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import json
 import os
@@ -285,14 +284,6 @@ def _blocks(batch: pa.RecordBatch, column: int):
         yield i, j, data[int(offsets[i]):int(offsets[j])], offsets[i:j + 1] - offsets[i]
 
 
-def release() -> None:
-    """Hand memory that encoding has freed back to the system: the worker stays for the stages after it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 GROUPS = T.StructType([T.StructField("groups", T.StringType()), T.StructField("ends", T.ArrayType(T.LongType()))])
 
 
@@ -369,7 +360,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files
                      one(n, pa.list_(pa.int64()))], names=names)
                 k += 1
                 del x, got, times, per, distinct, link_pair, n, digest, numbers
-            release()
+            A.release()
 
     texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     blocks = written(A.map_arrow(texts, run, schema), "blocks")

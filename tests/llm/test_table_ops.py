@@ -148,6 +148,25 @@ def test_mixture_meets_weights_and_budget(spark, settings):
             assert all(len(v) == 1 for v in place.values()) and len({min(v) for v in place.values()}) == len(place)
 
 
+def test_exponents_are_tried_as_rows(spark):
+    tokens, at = [1, 5, 14, 80], [k / 16 for k in range(17)]
+    sources = spark.createDataFrame([(n,) for n in tokens], "tokens long")
+    assert mixing._sums_table(sources, 100, at).columns == ["k", "z", "l", "r"]
+    for a, (z, l, r) in zip(at, mixing._sums(sources, 100, at), strict=True):
+        p = [n / 100 for n in tokens]
+        assert z == pytest.approx(sum(x ** a for x in p)) and l == pytest.approx(sum(x ** a * math.log(x) for x in p))
+        assert r == pytest.approx(max(x ** (a - 1) for x in p))
+
+
+def test_training_gives_its_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(quality.A, "release", lambda: given.append(1))
+    docs = spark.createDataFrame([(k, "good text" if k % 2 else "bad words") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    assert given
+
+
 def test_mixture_of_nothing(spark):
     _, docs = mix_table(spark)
     assert mixing.mix(docs.limit(0)).count() == 0
