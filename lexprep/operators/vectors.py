@@ -1,14 +1,15 @@
 """Text features.
 
 Scale notes
-- TF-IDF: term counts per document come from one explode + groupBy
-  (map-side combine inside the task that holds the document); document
-  frequencies are a second aggregate; the (doc, term) table joins the
-  per-term table on ``term``. A hot term (in every document) is a skewed
+- TF-IDF: the texts of an id meet in one row, whose words are sorted and
+  counted there: no table of (document, term) pairs is held for the counting,
+  so a task's memory is that of the texts it sorts by id. Document
+  frequencies are an aggregate by term; the (doc, term) rows join the
+  per-term table on ``term`` and the per-document norms on the id, in both
+  joins without being sorted. A hot term (in every document) is a skewed
   join key: AQE's skew-join splits that partition of the (doc, term) side,
-  and the per-term side holds one row for it. The L2 norm is a window per
-  document (bounded by the document's distinct terms). N is a scalar
-  subquery; nothing is collected.
+  and the per-term side holds one row for it. N is a scalar subquery;
+  nothing is collected.
 - Pooled embeddings: the (document, word, count) rows are dealt into groups
   of documents and every group gets the word vectors: a vector travels once
   for each group, not for each document, and a document is summed where its
@@ -31,6 +32,16 @@ TFIDF_PATTERN = C.TOKEN_PATTERNS["word2"][1]
 POOL_GROUPS, POOL_WIDTH = 96, 16
 
 
+def word_counts(words: Column) -> Column:
+    """array<struct<term, tf>> of the words of an array column, which is sorted: runs of one word. Null for null."""
+    n = F.size(words)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n))
+    runs = F.zip_with(starts, ends, lambda i, j: F.struct(F.get(words, i).alias("term"), (j - i).cast("long").alias("tf")))
+    return F.when(n > 0, runs).when(words.isNotNull(), F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_df: float = 0.75, min_df: int = 1,
           stopwords: list[str] | None = None) -> DataFrame:
     """(id, term, tf, df, tfidf): raw counts, smooth idf
@@ -38,21 +49,24 @@ def tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "text", max_df: f
     document's vector L2-normalised. Tokens: lowercase runs of two or more
     word characters minus stopwords."""
     stop = stopwords if stopwords is not None else C.spark_stopwords("portuguese")
-    toks = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TFIDF_PATTERN), 0), lambda w: ~w.isin(stop))
-    # every document also counts the empty term once (no token is empty), so
-    # its document frequency is the number of documents: term counts, document
-    # frequencies and that number all read one (id, term) aggregate
-    terms = docs.select(id_col, F.explode(F.concat(F.array(F.lit("")), toks)).alias("term"))
-    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    # reading tf keeps that aggregate the same in all branches: its shuffle is reused
-    dfreq = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
+    # a token holds no space: the tokens of the joined texts of an id are those of its texts
+    texts = docs.where(F.col(text_col).isNotNull()).groupBy(id_col).agg(F.array_join(F.collect_list(text_col), " ").alias("_text"))
+    toks = F.filter(F.regexp_extract_all(F.lower("_text"), F.lit(TFIDF_PATTERN), 0), lambda w: ~w.isin(stop))
+    # every document also counts the empty term once (no token is empty), so its document frequency is their number
+    one = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
+    words = texts.select(id_col, F.sort_array(toks).alias("_words"))
+    tf = words.select(id_col, F.explode(F.concat(one, word_counts(F.col("_words")))).alias("_c")).select(id_col, "_c.term", "_c.tf")
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = dfreq.select(F.max(F.when(F.col("term") == "", F.col("df")))).scalar()
     vocab = dfreq.where((F.col("term") != "") & (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
-    w = tf.join(vocab, "term").withColumn(
+    # the smaller tables, a row for each term and for each document, are held by hash and the (id, term) rows stream
+    # past them: no task sorts those
+    w = tf.where(F.col("term") != "").join(vocab.hint("shuffle_hash"), "term").withColumn(
         "w", F.col("tf") * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", F.col("tf").cast("long").alias("tf"), F.col("df").cast("long").alias("df"),
-                    (F.col("w") / norm).alias("tfidf"))
+    norms = w.groupBy(F.col(id_col).alias("_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return w.join(norms.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id"))).select(
+        id_col, "term", F.col("tf").cast("long").alias("tf"), F.col("df").cast("long").alias("df"),
+        (F.col("w") / F.col("_norm")).alias("tfidf"))
 
 
 def vocabulary_index(weights: DataFrame) -> DataFrame:
@@ -68,7 +82,7 @@ def feature_table(weights: DataFrame, hand: DataFrame, id_col: str = "id") -> Da
     V..V+6, joined on the document key (not on position)."""
     idx = vocabulary_index(weights)
     v = idx.select(F.count(F.lit(1))).scalar()
-    tfidf_rows = weights.join(idx, "term").select(id_col, "feature_index", F.col("tfidf").alias("value"))
+    tfidf_rows = weights.join(idx.hint("shuffle_hash"), "term").select(id_col, "feature_index", F.col("tfidf").alias("value"))
     names = ["freq_law", "freq_term", "freq_phrase", "len_doc", "ratio_law", "ratio_term", "ratio_phrase"]
     stacked = F.array(*[F.struct(F.lit(i).alias("k"), F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("x"))
                         for i, n in enumerate(names)])

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -244,3 +245,21 @@ def test_pruning_of_tokens_counts_no_bigrams(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert pair in plan(V.vocabulary(docs, "text", TopicOptions(min_df=2, max_df=0.5, token_pattern="letter_word")))
     assert pair not in plan(V.vocabulary_filter(docs, "text", TopicOptions(min_df=2, max_df=0.5, token_pattern="letter_word")))
+
+
+def test_tfidf_counts_in_the_row_and_sorts_no_pairs(spark, capsys):
+    docs = spark.createDataFrame([(1, "bb aa bb"), (1, "aa cc"), (2, "cc"), (3, None), (None, "dd dd"), (4, "")], "id long, text string")
+    from lexprep.operators import vectors as X
+
+    got = X.tfidf(docs, "id", "text", max_df=1.0, stopwords=[])
+    rows = {(r["id"], r["term"]): (r["tf"], r["df"]) for r in got.collect()}
+    assert rows == {(1, "aa"): (2, 1), (1, "bb"): (2, 1), (1, "cc"): (1, 2), (2, "cc"): (1, 2), (None, "dd"): (2, 1)}
+    n = 4  # ids with a text: 1, 2, null and 4
+    w = {k: tf * (math.log((1 + n) / (1 + df)) + 1) for k, (tf, df) in rows.items()}
+    for r in got.collect():
+        norm = math.sqrt(sum(x * x for (i, _), x in w.items() if i == r["id"]))
+        assert abs(r["tfidf"] - w[r["id"], r["term"]] / norm) < 1e-12
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Window" not in plan
+    assert not re.search(r"HashAggregate\(keys=\[[^\]]*id#\w+, term#", plan)
