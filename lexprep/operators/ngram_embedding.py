@@ -8,9 +8,14 @@ join. The driver holds the class matrix (classes x dim), the class list and a fe
 Training minimises the mean log loss by conjugate gradients. Vectors start at zero, so every vector is a sum over
 documents of weight times a coefficient of the document, and the state between rounds is a row for each document:
 its mean vector and its coefficient, for the point and for the direction of search. A round is two joins: gradients of
-the documents summed by bucket, and these summed back by document. Grams of the training rows are kept twice for the
-time of the fit, by document and by bucket, so that they are not shuffled again; a bucket of more than ``PART_ROWS``
-documents is cut into parts. The step is the best of ``STEPS`` by the loss, all tried in one pass.
+the documents summed by bucket, and these summed back by document. The step is the best of ``STEPS`` by the loss, all
+tried in one pass.
+
+For these joins the grams of the training rows lie in cells, the (document, bucket, weight) of one block of some
+``PART_ROWS`` documents and of one of ``PARTS`` parts of the buckets, as packed numbers that are shuffled once and kept
+for the time of the fit. To a cell come the numbers of its block or of its part in one row, and it sends back one row
+of sums, added up by part or by block as they come. So no task holds more than a few cells' rows, however often a
+bucket is met.
 
 Rows of one id are one document. Null texts count as empty; an empty text has its end as its only gram. Rows without a
 label or an id are left out of training. Buckets not met in training count nothing. Equal scores go to the smaller label. An
@@ -25,14 +30,18 @@ import math
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexprep.session import interim
+from lexprep.operators.vectors import word_counts
+from lexprep.session import interim, ship_package
 
-#: Documents of a bucket that are summed in one task.
-PART_ROWS = 1 << 16
+#: Documents of a block, about, and parts of the buckets: a cell of the training grams is a block's share of a part.
+PART_ROWS, PARTS = 1 << 16, 32
+#: Grams of documents that are counted at once, and numbers of a row of a cell; one document may have more.
+COUNTED, CELL_ROWS = 1 << 20, 1 << 22
 #: Steps tried, as multiples of the one at which the direction moves a mean vector by 1.
 STEPS = tuple(2.0 ** k for k in range(-7, 10))
 END = "</s>"
@@ -48,19 +57,30 @@ class Settings:
     seed: int = 42
 
 
-def grams(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, bucket, weight): each bucket's share of the grams of a document."""
-    words = F.concat(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), " "), lambda w: w != ""), F.array(F.lit(END)))
+def _hashed(text: Column, s: Settings) -> Column:
+    """The buckets of all grams of a text, repeats included."""
+    words = F.concat(F.filter(F.split(text, " "), lambda w: w != ""), F.array(F.lit(END)))
 
-    def of(k: int) -> Column:
-        w, m = F.col("w"), F.size("w")
-        hashed = F.transform(F.sequence(F.lit(1), m - (k - 1)), lambda i: F.pmod(F.xxhash64(F.slice(w, i, k)), F.lit(s.buckets)))
+    def of(w: Column, k: int) -> Column:
+        m = F.size(w)
+        # the hash of k words is that of their slice, which would be cut out of the whole array for every gram
+        hashed = F.transform(F.sequence(F.lit(0), m - k), lambda i: F.pmod(F.xxhash64(*[F.get(w, i + d) for d in range(k)]), F.lit(s.buckets)))
         return F.when(m >= k, hashed).otherwise(F.array().cast("array<bigint>"))
 
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("w"))
-    counts = (rows.select("id", F.explode(F.concat(*[of(k) for k in range(1, s.n + 1)])).alias("bucket"))
-              .groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("c")))
-    return counts.select("id", "bucket", (F.col("c") / F.sum("c").over(Window.partitionBy("id"))).alias("weight"))
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(*[of(w, k) for k in range(1, s.n + 1)])))
+
+
+def _by_id(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
+    """(id, met): the buckets of all grams of a document, repeats included. Grams are those of single texts."""
+    texts = docs.groupBy(F.col(id_col).alias("id")).agg(F.collect_list(F.coalesce(F.col(text_col), F.lit(""))).alias("texts"))
+    return texts.select("id", F.flatten(F.transform("texts", lambda t: _hashed(t, s))).alias("met"))
+
+
+def grams(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
+    """(id, bucket, weight): each bucket's share of the grams of a document."""
+    rows = _by_id(docs, id_col, text_col, s).select("id", F.size("met").alias("n"), F.sort_array("met").alias("met"))
+    counts = rows.select("id", "n", F.explode(word_counts(F.col("met"))).alias("x"))
+    return counts.select("id", F.col("x.term").alias("bucket"), (F.col("x.tf") / F.col("n")).alias("weight"))
 
 
 def _names(prefix: str, dim: int) -> list[str]:
@@ -97,31 +117,165 @@ def _picked(columns: list[Column], at: Column) -> Column:
     return F.element_at(F.array(*columns), at + 1)
 
 
+def _cut(batches, buckets: int):
+    """Pieces of cells from documents (block, at, buckets of all grams)."""
+    for batch in batches:
+        lengths = np.asarray(batch.column(2).value_lengths()).astype(np.int64)
+        before, i = np.append(0, np.cumsum(lengths)), 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(before, before[i] + COUNTED, "right")) - 1)
+            part, sizes, i = batch.slice(i, j - i), lengths[i:j], j
+            block, at = (np.asarray(part.column(k)).astype(np.int64) for k in (0, 1))
+            key, n = np.unique(np.repeat(np.arange(len(at)), sizes) * buckets + np.asarray(part.column(2).flatten()), return_counts=True)
+            doc, bucket = key // buckets, key % buckets
+            cell = block[doc] * PARTS + bucket % PARTS
+            order = np.argsort(cell, kind="stable")
+            cell, doc, bucket, weight = cell[order], doc[order], bucket[order] // PARTS, (n / sizes[doc])[order]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            ends = np.append(first[1:], len(cell))
+            raw = lambda v, t: pa.array([v[a:b].astype(t).tobytes() for a, b in zip(first, ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cell[first]), raw(at[doc], np.int32), raw(bucket, np.int32),
+                                              raw(weight, np.float64)], names=["cell", "at", "bucket", "weight"])
+
+
+def _merged(batches):
+    """Neighbouring pieces of a cell in one row."""
+    now, held, size = None, [], 0
+
+    def told():
+        return pa.RecordBatch.from_arrays([pa.array([now]), *[pa.array([b"".join(x[k] for x in held)], pa.binary()) for k in range(3)]],
+                                          names=["cell", "at", "bucket", "weight"])
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            cell, *piece = (batch.column(k)[r].as_py() for k in range(4))
+            if held and (cell != now or size + len(piece[0]) > 4 * CELL_ROWS):
+                yield told()
+                held, size = [], 0
+            now, size = cell, size + len(piece[0])
+            held.append(piece)
+    if held:
+        yield told()
+
+
+def _read(batch: pa.RecordBatch, r: int, column: int, kind) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[r].as_buffer(), kind)
+
+
+def _told(key: int, met: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """(key, places, sums) of the places that were met."""
+    places = np.flatnonzero(met)
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([places.astype(np.int32).tobytes()], pa.binary()),
+                                       pa.array([sums[places].tobytes()], pa.binary())], names=["key", "places", "sums"])
+
+
+def _grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.zeros((size - len(x), *x.shape[1:]), x.dtype)])
+
+
+def _through_cells(batches, dim: int, to_parts: bool):
+    """(key, places, sums): of each row of a cell, weighted sums by bucket (key: the part) of its documents' numbers, or
+    by document (key: the block) of its buckets' numbers."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            cell = batch.column(0)[r].as_py()
+            at, bucket, weight = (_read(batch, r, k, t) for k, t in ((1, np.int32), (2, np.int32), (3, np.float64)))
+            places, values = _read(batch, r, 4, np.int32), _read(batch, r, 5, np.float64).reshape(-1, dim)
+            source, target = (at, bucket) if to_parts else (bucket, at)
+            given = np.zeros((int(places.max()) + 1, dim))
+            given[places] = values
+            met = np.bincount(target) > 0
+            total = np.column_stack([np.bincount(target, weight * given[source, j]) for j in range(dim)])
+            yield _told(cell % PARTS if to_parts else cell // PARTS, met, total)
+
+
+def _added(batches, dim: int):
+    """Sums of the same key added up as they come; a task has few keys."""
+    totals: dict[int, tuple] = {}
+    for batch in batches:
+        for r in range(batch.num_rows):
+            key, places = batch.column(0)[r].as_py(), _read(batch, r, 1, np.int32)
+            met, total = totals.get(key, (np.zeros(0, bool), np.zeros((0, dim))))
+            met, total = _grown(met, int(places.max()) + 1), _grown(total, int(places.max()) + 1)
+            met[places] = True
+            total[places] += _read(batch, r, 2, np.float64).reshape(-1, dim)
+            totals[key] = met, total
+    for key, (met, total) in totals.items():
+        yield _told(key, met, total)
+
+
+def _packed(batches, dim: int):
+    """Rows (key, [(at, numbers)]) as (key, places, sums)."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            rows = batch.column(1)[r].values
+            values = np.column_stack([np.asarray(rows.field(j + 1)) for j in range(dim)])
+            places = np.asarray(rows.field(0)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.array([places.tobytes()], pa.binary()),
+                                              pa.array([values.tobytes()], pa.binary())], names=["key", "places", "sums"])
+
+
+def _unpacked(batches, dim: int, names: list[str]):
+    """(key, places, sums) as a row for each place."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            places, values = _read(batch, r, 1, np.int32), _read(batch, r, 2, np.float64).reshape(-1, dim)
+            key = np.full(len(places), batch.column(0)[r].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(places), *[pa.array(values[:, j].copy()) for j in range(dim)]], names=names)
+
+
+_CELLS, _SUMS = "cell bigint, at binary, bucket binary, weight binary", "key bigint, places binary, sums binary"
+
+
 class _Grams:
-    """The training grams, by document and by bucket."""
-
-    def __init__(self, rows: DataFrame, dim: int):
-        self.dim = dim
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.by_doc = rows.repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
-        # fewer than rows / PART_ROWS buckets; broadcast or not by their size at run time
-        heavy = self.by_doc.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS)
-        self.heavy = interim(heavy.select("bucket", F.ceil(F.col("n") / PART_ROWS).alias("parts")).coalesce(1), "ngram_heavy")
-        placed = self.by_doc.join(self.heavy, "bucket", "left").withColumn(
-            "part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0))).drop("parts")
-        self.by_bucket = placed.repartition(parts, "bucket", "part").persist(StorageLevel.MEMORY_AND_DISK)
+    """The training grams in cells, and the places of the documents (id, block, at)."""
+
+    def __init__(self, rows: DataFrame, id_col: str, text_col: str, n: int, s: Settings):
+        spark, dim = rows.sparkSession, s.dim
+        ship_package(spark)
+        self.dim, self.blocks = dim, max(1, math.ceil(n / PART_ROWS))
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        block = F.pmod(F.xxhash64("id"), F.lit(self.blocks))
+        ids = rows.select(F.col(id_col).alias("id")).distinct().withColumn("block", block)
+        at = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
+        self.places = interim(ids.withColumn("at", at), "ngram_places")
+        placed = _by_id(rows, id_col, text_col, s).join(self.places, "id").select("block", "at", "met")
+        pieces = placed.mapInArrow(lambda b: _cut(b, s.buckets), _CELLS).repartition(tasks, "cell").sortWithinPartitions("cell")
+        # dealt once more after the merging, since Spark does not know that it leaves the rows where they are
+        self.cells = pieces.mapInArrow(_merged, _CELLS).repartition(tasks, "cell").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _sent(self, given: DataFrame, to_parts: bool) -> DataFrame:
+        """The numbers of each block or part, summed through the cells."""
+        dim, (others, cell) = self.dim, ((PARTS, F.col("key") * PARTS + F.col("other")) if to_parts else
+                                         (self.blocks, F.col("other") * PARTS + F.col("key")))
+        copies = (given.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+                  .select(cell.alias("cell"), "places", "sums"))
+        met = self.cells.join(copies.hint("shuffle_hash"), "cell").select("cell", "at", "bucket", "weight", "places", "sums")
+        parts = met.mapInArrow(lambda b: _through_cells(b, dim, to_parts), _SUMS)
+        return parts.repartition(PARTS if to_parts else self.blocks, "key").mapInArrow(lambda b: _added(b, dim), _SUMS)
+
+    def _rows(self, sums: DataFrame, names: list[str], prefix: str) -> DataFrame:
+        dim, names = self.dim, [*names, *_names(prefix, self.dim)]
+        kinds = ", ".join([f"{names[0]} bigint, {names[1]} int", *[f"{c} double" for c in names[2:]]])
+        return sums.mapInArrow(lambda b: _unpacked(b, dim, names), kinds)
 
     def to_buckets(self, docs: DataFrame, prefix: str) -> DataFrame:
-        return _sums(self.by_doc.join(docs, "id"), "bucket", prefix, self.dim)
+        """Packed sums by part of the buckets, of rows (block, at, numbers)."""
+        dim = self.dim
+        packed = docs.groupBy("block").agg(F.collect_list(F.struct("at", *_names(prefix, dim))).alias("rows"))
+        return self._sent(packed.mapInArrow(lambda b: _packed(b, dim), _SUMS), True)
+
+    def to_docs(self, sums: DataFrame, prefix: str) -> DataFrame:
+        """(block, at, numbers) of the documents, each of which has a gram."""
+        return self._rows(self._sent(sums, False), ["block", "at"], prefix)
 
-    def to_docs(self, vectors: DataFrame, prefix: str) -> DataFrame:
-        last = F.coalesce(F.col("parts") - 1, F.lit(0))
-        copies = vectors.join(self.heavy, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("parts")
-        return _sums(self.by_bucket.join(copies, ["bucket", "part"]), "id", prefix, self.dim)
+    def vectors(self, sums: DataFrame, prefix: str) -> DataFrame:
+        """(bucket, numbers) of packed sums by part."""
+        rows = self._rows(sums, ["part", "place"], prefix)
+        return rows.select((F.col("place") * F.lit(PARTS).cast("bigint") + F.col("part")).alias("bucket"), *_names(prefix, self.dim))
 
     def free(self) -> None:
-        self.by_doc.unpersist()
-        self.by_bucket.unpersist()
+        self.cells.unpersist()
 
 
 @dataclass(frozen=True)
@@ -134,10 +288,10 @@ class NgramModel:
     losses: list
 
     def scored(self, docs: DataFrame, id_col: str = "id", text_col: str = "text", name: str = "prediction") -> DataFrame:
-        """``docs`` and the likeliest label of each row. Words that most documents hold are hot keys of the join with
-        the vectors, which AQE broadcasts or splits."""
+        """``docs`` and the likeliest label of each row. The vectors, at most ``buckets`` rows, are held by hash and the
+        grams stream past them; words that most documents hold are hot keys there, which AQE splits."""
         dim = self.settings.dim
-        hidden = _sums(grams(docs, id_col, text_col, self.settings).join(self.vectors, "bucket"), "id", "v", dim)
+        hidden = _sums(grams(docs, id_col, text_col, self.settings).join(self.vectors.hint("shuffle_hash"), "bucket"), "id", "v", dim)
         if len(self.classes) == 1:
             return docs.withColumn(name, F.lit(self.classes[0]))
         at = [F.coalesce(F.col(c), F.lit(0.0)) for c in _names("v", dim)]
@@ -174,11 +328,11 @@ def fit(train: DataFrame, id_col: str = "id", text_col: str = "text", label_col:
     k = len(classes)
     rng = np.random.default_rng(s.seed)
     head = np.linalg.qr(rng.normal(size=(max(k, dim), max(k, dim))))[0][:k, :dim] * math.sqrt(max(k, dim) / dim)
-    kept = _Grams(grams(rows, id_col, text_col, s), dim)
+    kept = _Grams(rows, id_col, text_col, n, s)
     y = F.array_position(F.array(*map(F.lit, classes)), F.col("y")).cast("int") - 1
     point, zero = ("h", "c", "dh", "dc"), F.lit(0.0)  # mean vector, coefficient, and the direction of both
-    state = (rows.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y")).select("id", y.alias("y"))
-             .select("id", "y", *[zero.alias(c) for p in point for c in _names(p, dim)]))
+    state = (rows.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y")).join(kept.places, "id")
+             .select("block", "at", y.alias("y"), *[zero.alias(c) for p in point for c in _names(p, dim)]))
     turn, norm, losses = np.zeros_like(head), None, []
     cols = lambda p: [F.col(c) for c in _names(p, dim)]
     for _ in range(s.rounds if k > 1 else 0):
@@ -190,9 +344,8 @@ def fit(train: DataFrame, id_col: str = "id", text_col: str = "text", label_col:
         scored = scored.withColumns({f"g{j}": _dot(head[:, j], [F.col(f"e{i}") for i in range(k)]) for j in range(dim)})
         scored = scored.withColumn("loss", (F.col("total") - _picked(score, F.col("y"))) / n)
         scored = interim(scored.drop(*[f"s{i}" for i in range(k)], "total"), "ngram_gradients")
-        image = kept.to_docs(kept.to_buckets(scored.select("id", *_names("g", dim)), "g"), "g")
-        image = image.select("id", *[F.col(c).alias(f"r{j}") for j, c in enumerate(_names("g", dim))])
-        at = interim(scored.join(image, "id"), "ngram_round")
+        image = kept.to_docs(kept.to_buckets(scored.select("block", "at", *_names("g", dim)), "g"), "r")
+        at = interim(scored.join(image, ["block", "at"]), "ngram_round")
         product = lambda a, b: F.sum(sum((x * y for x, y in zip(cols(a), cols(b))), zero))
         got = at.agg(F.sum("loss"), product("g", "r"), product("g", "g"), product("h", "h"),
                      product("r", "r"), product("r", "dh"), product("dh", "dh"), *[F.sum(F.col(f"e{i}") * h) for i in range(k) for h in cols("h")]).first()
@@ -232,7 +385,7 @@ def fit(train: DataFrame, id_col: str = "id", text_col: str = "text", label_col:
         step = best["step"]
         head = head + step * turn
         state = at.withColumns({f"{p}{j}": F.col(f"{p}{j}") + F.lit(step) * F.col(f"d{p}{j}") for p in "hc" for j in range(dim)})
-    coefficients = state.select("id", *[F.col(c).alias(f"v{j}") for j, c in enumerate(_names("c", dim))])
-    vectors = interim(kept.to_buckets(coefficients, "v"), "ngram_vectors")
+    coefficients = state.select("block", "at", *[F.col(c).alias(f"v{j}") for j, c in enumerate(_names("c", dim))])
+    vectors = interim(kept.vectors(kept.to_buckets(coefficients, "v"), "v"), "ngram_vectors")
     kept.free()
     return NgramModel(vectors, head, np.asarray(prior), classes, s, losses)

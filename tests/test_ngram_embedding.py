@@ -77,3 +77,26 @@ def test_vectors_are_not_held_by_the_driver(spark):
     assert N.Settings().buckets == 1 << 21 and q_models.N.fit is N.fit
     plan = N.fit(_toy(spark, 12), settings=SMALL).scored(_toy(spark, 12))._jdf.queryExecution().optimizedPlan().toString()
     assert "PythonUDF" not in plan and "LocalRelation" not in plan
+
+
+def test_buckets_are_hashes_of_word_slices(spark):
+    docs = spark.createDataFrame([(1, "a b a  b c"), (1, "c"), (2, "a")], "id long, text string")
+    got = {(r.id, r.bucket): r.weight for r in N.grams(docs, "id", "text", N.Settings()).collect()}
+    words = {1: [["a", "b", "a", "b", "c", N.END], ["c", N.END]], 2: [["a", N.END]]}
+    want = {}
+    for i, texts in words.items():
+        met = [w[a:a + k] for w in texts for k in (1, 2, 3) for a in range(len(w) - k + 1)]
+        for g in met:
+            b = spark.range(1).select(F.pmod(F.xxhash64(F.array(*map(F.lit, g))), F.lit(1 << 21))).first()[0]
+            want[i, b] = want.get((i, b), 0) + 1 / len(met)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_rounds_join_cells_and_not_single_grams(spark):
+    """Between rounds the training grams are a few packed rows, one for each block and part of the buckets."""
+    toy = _toy(spark, 60)
+    kept = N._Grams(toy, "id", "text", 60, SMALL)
+    grams = N.grams(toy, "id", "text", SMALL)
+    assert kept.cells.count() <= N.PARTS < grams.count()
+    assert sum(len(r.weight) // 8 for r in kept.cells.collect()) == grams.count()
+    kept.free()
