@@ -14,22 +14,31 @@ Scale notes
   of documents and every group gets the word vectors: a vector travels once
   for each group, not for each document, and a document is summed where its
   counts are, a few numbers of the vector in each row of the aggregate.
+- Padded sequences: the words of a block of documents are codes into the
+  block's distinct words, and only these meet the index; ids are put back by
+  code in the block, and padded once they are with the rows that get them.
 - The token index ranks the aggregated token table with the distributed
   global rank (no single-partition window).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexprep import constants as C
 from lexprep.functions import text as T
 from lexprep.operators.ranking import global_row_number, range_buckets
+from lexprep.session import ship_package
 
 TFIDF_PATTERN = C.TOKEN_PATTERNS["word2"][1]
 #: Groups of documents that get the word vectors, and numbers of a vector summed in one row.
 POOL_GROUPS, POOL_WIDTH = 96, 16
+#: Bytes of texts whose words share a dictionary; a longer text has its own.
+SEQ_BLOCK_BYTES = 4 << 20
 
 
 def word_counts(words: Column) -> Column:
@@ -136,40 +145,118 @@ def ranked_word_vectors(docs: DataFrame, embeddings: DataFrame, text_col: str =
 
 # -- sequences ----------------------------------------------------------------
 
+def seq_spaced(text) -> Column:
+    """Lowercase, filter characters -> space."""
+    return F.translate(F.lower(F.col(text) if isinstance(text, str) else text), C.SEQ_FILTERS, " " * len(C.SEQ_FILTERS))
+
+
 def seq_tokens(text) -> Column:
     """Sequence-tokeniser words: lowercase, filter characters -> space,
     split on a space, no empty words."""
-    t = F.translate(F.lower(F.col(text) if isinstance(text, str) else text), C.SEQ_FILTERS, " " * len(C.SEQ_FILTERS))
-    return F.filter(F.split(t, " ", -1), lambda w: w != "")
+    return F.filter(F.split(seq_spaced(text), " ", -1), lambda w: w != "")
+
+
+def seq_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, texts): the texts of each id, ready for being split on a space."""
+    return docs.groupBy(id_col).agg(F.sort_array(F.collect_list(seq_spaced(text_col))).alias("texts"))
 
 
 def token_index(train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A15 + W1: (token, idx, n): rank by count desc, ties by first
     appearance (documents in id order, then position); from 1."""
     ex = train.select(id_col, F.posexplode(seq_tokens(text_col)).alias("pos", "token"))
+    return _ranked_tokens(ex, train, id_col, F.lit(True))
+
+
+def token_index_of_texts(texts: DataFrame, counts: Column, train: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``token_index`` of the rows of ``seq_texts`` for which ``counts`` holds, whose ids are those of ``train``. The
+    others are left out where tokens are counted, so that all users of ``texts`` read the same rows."""
+    each = texts.select(id_col, counts.alias("_counts"), F.explode("texts").alias("_text"))
+    words = F.filter(F.split("_text", " ", -1), lambda w: w != "")
+    ex = each.select(id_col, "_counts", F.posexplode(words).alias("pos", "token"))
+    return _ranked_tokens(ex, train, id_col, F.col("_counts"))
+
+
+def _ranked_tokens(ex: DataFrame, train: DataFrame, id_col: str, counts: Column) -> DataFrame:
     # first appearance as one number of fixed width, so that tokens are counted by hash, without a sort
-    at = F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos")
-    agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(at.cast("decimal(32,0)")).alias("first"))
+    at = (F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos")).cast("decimal(32,0)")
+    agg = ex.groupBy("token").agg(F.count(F.when(counts, 1)).alias("n"), F.min(F.when(counts, at)).alias("first")).where("n > 0")
     agg = agg.withColumn("_doc", F.floor(F.col("first") / F.lit(1 << 32)).cast("long"))
     first_doc = range_buckets(train.select(F.col(id_col).cast("long").alias("_doc")), "_doc")
     ranked = global_row_number(agg, [F.desc("n"), F.asc("first")], [-F.col("n"), *first_doc], "idx")
     return ranked.select("token", "idx", F.col("n").cast("long").alias("n"))
 
 
+def _encoded(batches):
+    """Blocks of documents (id, texts whose words stand between spaces): for each block a row for its words' codes, whose
+    token holds a space and so is no word, and a row for each distinct word, ``pos`` being its code."""
+    from pyspark import TaskContext
+
+    task, k = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        n_texts = np.asarray(batch.column(1).value_lengths()).astype(np.int64)
+        per_text = np.append(0, np.cumsum(np.asarray(pc.binary_length(batch.column(1).flatten())).astype(np.int64)))
+        size, i = per_text[np.append(0, np.cumsum(n_texts))], 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, size[i] + SEQ_BLOCK_BYTES, "right")) - 1)
+            part, texts, i = batch.slice(i, j - i), n_texts[i:j], j
+            split = pc.split_pattern(part.column(1).flatten(), " ")
+            words, of = split.flatten(), np.repeat(np.arange(len(split)), np.asarray(split.value_lengths()))
+            full = pc.greater(pc.binary_length(words), 0)
+            coded, of = words.filter(full).dictionary_encode(), of[np.asarray(full)]
+            distinct, n = coded.dictionary, len(coded.dictionary) + 1
+            raw = lambda v, t: pa.array([np.asarray(v).astype(t).tobytes(), *[None] * (n - 1)], pa.binary())
+            ids = pa.ListArray.from_arrays(pa.array([0, *[len(texts)] * n], pa.int32()), part.column(0),
+                                           mask=pa.array([False, *[True] * (n - 1)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, task | k)), pa.concat_arrays([pa.array([f" {task | k}"]), distinct.cast(pa.string())]),
+                 pa.array([None, *range(n - 1)], pa.int32()), ids, raw(texts, np.int64),
+                 raw(np.searchsorted(of, np.arange(len(split) + 1)), np.int64), raw(coded.indices, np.int32)],
+                names=["block", "token", "pos", "ids", "texts", "bounds", "codes"])
+            k += 1
+
+
+def _sequences(batches):
+    """(id, ids of its words) of the documents of blocks (pos, idx, ids, texts, bounds, codes): known words in order of
+    their position, those of several texts of one id by position and then by idx."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            pos, idx, ids = (batch.column(k)[r].values for k in range(3))
+            texts, bounds, codes = (np.frombuffer(batch.column(k)[r].as_buffer(), t) for k, t in
+                                    ((3, np.int64), (4, np.int64), (5, np.int32)))
+            of = np.full(int(codes.max(initial=-1)) + 1, -1, np.int64)
+            of[np.asarray(pos)] = np.asarray(idx)
+            known = of[codes] >= 0
+            found = of[codes][known]
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            doc = np.repeat(np.arange(len(texts)), texts)[text[known]]
+            if texts.max(initial=0) > 1:
+                place = (np.arange(len(codes)) - bounds[text])[known]
+                found = found[np.lexsort((found, place, doc))]
+            ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(texts))))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))], names=["id", "s"])
+
+
 def padded_sequences(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     maxlen: int = C.SEQ_MAXLEN) -> DataFrame:
+                     maxlen: int = C.SEQ_MAXLEN, rows: DataFrame | None = None) -> DataFrame:
     """K3 + K2: token ids in order, unknown tokens dropped; a longer
     sequence keeps its last ``maxlen`` ids, a shorter one is padded with 0
-    after. (id, n_ids, seq array<long>)."""
-    ex = docs.select(id_col, F.posexplode(seq_tokens(text_col)).alias("pos", "token"))
-    # one row for each document and word, with its positions, meets the index
-    postings = ex.groupBy(id_col, "token").agg(F.collect_list("pos").alias("_at"))
-    placed = F.transform("_at", lambda p: F.struct(p.alias("pos"), F.col("idx").alias("idx")))
-    ids = (postings.join(index.select("token", "idx"), "token").select(id_col, placed.alias("_at"))
-           .groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list("_at"))).alias("_p")))
-    seq = F.coalesce(F.col("_p.idx"), F.array().cast("array<long>"))
-    base = docs.select(id_col).join(ids, id_col, "left").select(id_col, seq.alias("_s"))
+    after. (id, n_ids, seq array<long>), and the other columns of ``rows``, if
+    these (the ids of ``docs`` otherwise) are to get the sequences."""
+    ship_package(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = seq_texts(docs, id_col, text_col).sortWithinPartitions(id_col)  # a task that runs again makes the same blocks
+    blocks = texts.mapInArrow(_encoded, f"block bigint, token string, pos int, ids array<{kind}>, texts binary, bounds binary, codes binary")
+    # the distinct words of a block meet the index; the block's codes go along under a token that is no word
+    met = blocks.join(index.select("token", F.col("idx").cast("long").alias("idx")).hint("shuffle_hash"), "token", "left")
+    body = ["ids", "texts", "bounds", "codes"]
+    back = (met.where(F.col("idx").isNotNull() | F.col("pos").isNull()).groupBy("block")
+            .agg(F.collect_list("pos").alias("pos"), F.collect_list("idx").alias("idx"), *[F.first(c, True).alias(c) for c in body]))
+    ids = back.select("pos", "idx", *body).mapInArrow(_sequences, f"id {kind}, s array<bigint>")
+    ids = ids.select(F.col("id").alias("_id"), F.col("s").alias("_s"))
+    rows = docs.select(id_col) if rows is None else rows
+    base = rows.join(ids, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("_s", F.coalesce("_s", F.array().cast("array<long>")))
     n = F.size("_s")
     kept = F.slice("_s", F.greatest(n - maxlen + 1, F.lit(1)), F.lit(maxlen))
     padded = F.concat(kept, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(maxlen) - F.size(kept), F.lit(0))))
-    return base.select(id_col, n.cast("long").alias("n_ids"), padded.alias("seq"))
+    return base.select(*rows.columns, n.cast("long").alias("n_ids"), padded.alias("seq"))

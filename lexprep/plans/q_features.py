@@ -148,7 +148,10 @@ FROM al""")
 def padded_sequences(spark, sf):
     """K3 + K2 for both parts, with the index fitted on the training part."""
     sp = _train(spark, sf)
-    idx = V.token_index(sp.where(F.col("split") == "train"), "doc_id", "text")
-    seqs = V.padded_sequences(sp, idx, "doc_id", "text")
-    return sp.select("doc_id", "split").join(seqs, "doc_id").select(
-        "doc_id", "split", "n_ids", F.array_join(F.transform("seq", lambda x: x.cast("string")), " ").alias("seq"))
+    # the index is counted in the texts that also get the sequences: they are cleaned and dealt by id once
+    texts = S.random_split(V.seq_texts(sp, "doc_id", "text"), "doc_id", 0.25, 42)
+    train = F.col("split") == "train"
+    idx = V.token_index_of_texts(texts, train, sp.where(train).select("doc_id"), "doc_id")
+    rows = sp.select("doc_id", "split").join(sp.select("doc_id"), "doc_id")
+    seqs = V.padded_sequences(sp, idx, "doc_id", "text", rows=rows)
+    return seqs.select("doc_id", "split", "n_ids", F.array_join(F.col("seq").cast("array<string>"), " ").alias("seq"))
