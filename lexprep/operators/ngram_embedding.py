@@ -39,9 +39,9 @@ from lexprep.operators.vectors import word_counts
 from lexprep.session import interim, ship_package
 
 #: Documents of a block, about, and parts of the buckets: a cell of the training grams is a block's share of a part.
-PART_ROWS, PARTS = 1 << 16, 32
+PART_ROWS, PARTS = 1 << 14, 32
 #: Grams of documents that are counted at once, and numbers of a row of a cell; one document may have more.
-COUNTED, CELL_ROWS = 1 << 20, 1 << 22
+COUNTED, CELL_ROWS = 1 << 20, 1 << 18
 #: Steps tried, as multiples of the one at which the direction moves a mean vector by 1.
 STEPS = tuple(2.0 ** k for k in range(-7, 10))
 END = "</s>"
