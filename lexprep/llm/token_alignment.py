@@ -27,6 +27,7 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -43,9 +44,12 @@ from lexprep.llm.tables import quoted, written
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of distinct stretches that are put together into one text for the tokenizers.
-ENCODE_BYTES = 32 << 10
-#: How many such texts are encoded at once.
-WAVE = 8
+ENCODE_BYTES = 16 << 10
+#: Bytes of such texts that are encoded at once, and after how many times freed memory goes back to the system.
+WAVE_BYTES, TRIM = 40 << 10, 32
+#: A row of the blocks' table is a block of some 12 MB. A row group is one of them: without this a writer holds 100 rows
+#: before it looks at their size, and a reader all rows of a group.
+ROW_GROUPS = {"parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
 SPACE_MARK = "▁"
 MARK_BYTES = SPACE_MARK.encode()
 #: What follows a token id: another of its side, the other side, or the next group.
@@ -95,7 +99,7 @@ class Pair:
         self.b_len = np.array([len(x) for x in self.b_bytes])
         numbers = [str(i) for i in range(max(len(self.a_bytes), n))]
         self.marked = [x + m for x in numbers for m in MARKS]
-        self.digits = np.array([len(x) for x in numbers])
+        self.digits = np.array([len(x) for x in numbers], np.int32)
         split = told.get("pre_tokenizer") or {}
         self.cuts = (told.get("normalizer") is None and split.get("type") == "ByteLevel" and bool(split.get("use_regex"))
                      and not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces))
@@ -159,6 +163,16 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _distinct(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in rising order, and the place of each value among them."""
+    coded = pa.array(links).dictionary_encode()
+    values = np.asarray(coded.dictionary)
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[np.asarray(coded.indices)]
+
+
 def safe_end(text: bytes) -> bool:
     """Whether a space after these bytes could be cut out."""
     return 0x21 <= text[-1] <= 0x7E or len(text) > 1 and 0x80 <= text[-1] <= 0xBF and 0xC3 <= text[-2] <= 0xDF
@@ -184,7 +198,7 @@ def aligned(pair: Pair, stretches: list[bytes]) -> Stretches:
     zero = lambda: np.zeros(n, np.int64)
     out = Stretches(np.zeros(n, bool), zero(), zero(), zero(), np.zeros(0, np.int64), np.zeros(n + 1, np.int64),
                     [""] * n, np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
-    found: list[tuple] = []
+    found: list[list] = []
     todo, batch, size = [], [], 0
     for k, s in enumerate(stretches):
         if MARK_BYTES in s:
@@ -201,8 +215,9 @@ def aligned(pair: Pair, stretches: list[bytes]) -> Stretches:
         todo.append(batch)
     while todo:
         wave, todo = todo, []
-        for i in range(0, len(wave), WAVE):
-            part = wave[i:i + WAVE]
+        for turn, part in enumerate(_waves(wave, stretches), 1):
+            if turn % TRIM == 0:
+                A.release()
             texts = [b"".join(b" " + stretches[k] for k in ks) for ks in part]
             for ks, text, tokens in zip(part, texts, pair.tokens(texts)):
                 stops = np.cumsum([len(stretches[k]) + 1 for k in ks])
@@ -210,18 +225,37 @@ def aligned(pair: Pair, stretches: list[bytes]) -> Stretches:
                     found.append(_place(pair, out, np.array(ks), stops, *tokens))
                 elif len(ks) > 1:  # one of them is not given back
                     todo.extend([k] for k in ks)
-    out.links, out.bounds = _by_stretch(found, 0, n)
-    out.ends, out.end_bounds = _by_stretch(found, 2, n)
+    out.links, out.bounds = _by_stretch(found, 0, n, np.int64)
+    out.ends, out.end_bounds = _by_stretch(found, 2, n, np.int32)
     return out
 
 
-def _by_stretch(found: list[tuple], k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values and the stretch of each, as values in the order of stretches and the bounds of each stretch."""
-    values, of = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (k, k + 1))
-    return values[np.argsort(of, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
-
-
-def _place(pair: Pair, out: Stretches, ks: np.ndarray, stops: np.ndarray, ia, ea, ib, eb) -> tuple[np.ndarray, ...]:
+def _waves(todo: list[list[int]], stretches: list[bytes]) -> Iterator[list[list[int]]]:
+    """Texts of at most ``WAVE_BYTES`` together, or one text."""
+    part, size = [], 0
+    for ks in todo:
+        n = sum(len(stretches[k]) + 1 for k in ks)
+        if part and size + n > WAVE_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(ks)
+        size += n
+    if part:
+        yield part
+
+
+def _by_stretch(found: list[list], k: int, n: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values and the stretch of each, as values in the order of stretches and the bounds of each stretch. They are
+    taken out of ``found``."""
+    values, of = (np.concatenate([np.zeros(0, t), *(x[i] for x in found)]) for i, t in ((k, kind), (k + 1, np.int32)))
+    for x in found:
+        x[k] = x[k + 1] = None
+    if (of[1:] < of[:-1]).any():  # some stretches were encoded again
+        values = values[np.argsort(of, kind="stable")]
+    return values, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
+
+
+def _place(pair: Pair, out: Stretches, ks: np.ndarray, stops: np.ndarray, ia, ea, ib, eb) -> list[np.ndarray]:
     """Fill in the stretches that make up one text; (links, the stretch of each, ends of groups, the stretch of each)."""
     m = len(ks)
     common = np.intersect1d(ea, eb, assume_unique=True)
@@ -246,7 +280,8 @@ def _place(pair: Pair, out: Stretches, ks: np.ndarray, stops: np.ndarray, ia, ea
         a = b
     links = ia[np.searchsorted(ea, every)] << 32 | ib[np.searchsorted(eb, every)]
     begins = np.concatenate([[0], stops[:-1]])
-    return links, ks[np.searchsorted(stops, every)], common - begins[at], ks[at]
+    of = ks.astype(np.int32)
+    return [links, of[np.searchsorted(stops, every)], (common - begins[at]).astype(np.int32), of[at]]
 
 
 class Block:
@@ -260,21 +295,29 @@ class Block:
             starts, ends = offsets[:-1][full], offsets[1:][full]
             self.bounds = np.concatenate([[0], np.cumsum(full)])
         self.codes, distinct = dictionary(data, starts, ends)
-        self.lengths = ends - starts + 1
-        self.got = aligned(pair, distinct.to_pylist())
-        bad = A.sums((~self.got.good)[self.codes].astype(np.int64), self.bounds) > 0
-        keep = np.repeat(~bad, np.diff(self.bounds))
-        self.codes, self.lengths = self.codes[keep], self.lengths[keep]
-        self.bounds = np.concatenate([[0], np.cumsum(np.where(bad, 0, np.diff(self.bounds)))])
+        self.lengths = (ends - starts + 1).astype(np.int32)
+        del starts, ends  # not held while the stretches are encoded
+        stretches = distinct.to_pylist()
+        del distinct
+        self.got = aligned(pair, stretches)
+        bad = A.sums((~self.got.good)[self.codes], self.bounds) > 0
+        if bad.any():
+            keep = np.repeat(~bad, np.diff(self.bounds))
+            self.codes, self.lengths = self.codes[keep], self.lengths[keep]
+            self.bounds = np.concatenate([[0], np.cumsum(np.where(bad, 0, np.diff(self.bounds)))])
 
     def total(self, per_stretch: np.ndarray) -> np.ndarray:
         """Sum over the stretches of each text."""
         return A.sums(per_stretch[self.codes], self.bounds)
 
     def groups(self) -> list[str]:
-        codes, b = self.codes.tolist(), self.bounds.tolist()
+        return list(self.each_groups())
+
+    def each_groups(self) -> Iterator[str]:
+        """The groups of a text at a time."""
         s = self.got.groups
-        return ["".join(map(s.__getitem__, codes[b[i]:b[i + 1]]))[:-1] for i in range(len(b) - 1)]
+        for i, j in zip(self.bounds[:-1], self.bounds[1:]):
+            yield "".join(map(s.__getitem__, self.codes[i:j].tolist()))[:-1]
 
 
 def _blocks(batch: pa.RecordBatch, column: int):
@@ -344,11 +387,12 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files
             for i, j, data, offsets in _blocks(batch, 1):
                 x = Block(pair, data, offsets)
                 got = x.got
+                digest = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in x.each_groups()]
+                got.groups = []
                 times = np.bincount(x.codes, minlength=len(got.good))
                 per = np.diff(got.bounds)
-                distinct, link_pair = np.unique(got.links, return_inverse=True)
+                distinct, link_pair = _distinct(got.links)
                 n = np.bincount(link_pair, np.repeat(times, per).astype(np.float64), len(distinct)).astype(np.int64)
-                digest = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in x.groups()]
                 numbers = [x.total(v) for v in (got.n_a, got.n_b, got.n_groups, per)]
                 one = lambda v, t=None: pa.array([v], t)
                 raw = lambda v, t: one(v.astype(t).tobytes(), pa.binary())
@@ -363,7 +407,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files
             A.release()
 
     texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    blocks = written(A.map_arrow(texts, run, schema), "blocks")
+    blocks = written(A.map_arrow(texts, run, schema), "blocks", ROW_GROUPS)
     counts = (blocks.select(F.explode(F.arrays_zip("pairs", "pair_n")).alias("x")).groupBy(F.col("x.pairs").alias("pair"))
               .agg(F.sum("x.pair_n").alias("n")).where("n > 0"))
     b = F.col("pair").bitwiseAND((1 << 32) - 1)

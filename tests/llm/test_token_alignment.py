@@ -133,3 +133,21 @@ def test_blocks_are_dealt_over_as_many_tasks(spark):
     counts = K.document_counts(found)
     assert n >= 12 and counts.rdd.getNumPartitions() == n
     assert counts.count() == 60
+
+
+def test_a_row_group_is_one_block(spark):
+    """Three texts of a block each in one task: a writer, or reader, of the blocks holds one of them at a time."""
+    docs = spark.createDataFrame([(i, "word " * (K.BLOCK_BYTES // 4) + str(i)) for i in range(3)], "doc_id long, text string")
+    files = K.align(docs.coalesce(1)).blocks.inputFiles()
+    groups = [m.row_group(k).num_rows for f in files for m in [pq.read_metadata(f.removeprefix("file://"))]
+              for k in range(m.num_row_groups)]
+    assert groups == [1, 1, 1]
+
+
+def test_texts_encoded_at_once_are_few_bytes():
+    stretches = [b"x" * 9] * 10_000 + [b"y" * 99_999] * 3
+    todo = [[k] for k in range(len(stretches))]
+    waves = list(K._waves(todo, stretches))
+    assert [ks for w in waves for ks in w] == todo
+    assert all(len(w) == 1 or sum(len(stretches[k]) + 1 for ks in w for k in ks) <= K.WAVE_BYTES for w in waves)
+    assert [len(w) for w in waves[-3:]] == [1, 1, 1]
