@@ -263,3 +263,26 @@ def test_tfidf_counts_in_the_row_and_sorts_no_pairs(spark, capsys):
     plan = capsys.readouterr().out
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Window" not in plan
     assert not re.search(r"HashAggregate\(keys=\[[^\]]*id#\w+, term#", plan)
+
+
+def test_pruning_rare_words_shuffles_no_postings(spark):
+    """Texts and rare words meet by document: no row for each document and word is shuffled or collected."""
+    from lexprep.operators import vocab as V
+
+    docs = spark.createDataFrame([("p", 1, "a b")], "corpus string, doc_id long, text string")
+    plan = V.vocabulary_filter(docs, "text", TopicOptions(min_df=2, max_df=0.5, token_pattern="letter_word"))._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "collect_list(struct(pos" not in plan
+
+
+def test_rows_of_one_document_and_rows_without_a_key(spark):
+    """Rows of an id are one document, with the tokens of all by position; a row without corpus or id keeps none."""
+    from lexprep.operators import vocab as V
+
+    own = " ".join(f"own{i}" for i in range(3 * V.RARE_LIST))
+    rows = [("p", 1, "b a", 1), ("p", 1, "c a b", 2), ("p", 2, f"a {own} b own5", 3), ("p", 3, None, 4), ("p", None, "a b", 5),
+            ("p", None, "a b", 6), (None, 4, "a b", 7), ("p", 5, "solo", 8), ("q", 1, "a b", 9)]
+    docs = spark.createDataFrame(rows, "corpus string, doc_id long, text string, n int").repartition(3)
+    for min_df, want in ((2, {1: "b a a b", 2: "b a a b", 3: "a b", 9: ""}), (3, {1: "b a a b", 2: "b a a b", 3: "a b", 9: ""})):
+        got = V.vocabulary_filter(docs, "text", TopicOptions(min_df=min_df, max_df=1.0, token_pattern="letter_word"))
+        assert got.columns == docs.columns
+        assert {r["n"]: r["text"] for r in got.collect()} == {n: "" for n in range(4, 9)} | want
